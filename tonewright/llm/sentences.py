@@ -43,19 +43,20 @@ _LIST_BREAK = rf"((?:\A|\n[ \t]*\n|\G(?!\A)){_MARK}[^\n]*+)\n(?={_MARK})"
 _LIST_NUMBER = r"((?:\A|\n[ \t]*\n|\uE002)[ \t]*\d{1,3})\.(?=[ \t])"
 _LIST_INNER = rf"((?:(?:\A|\n[ \t]*\n|\uE002)[ \t]*(?:[-*•‣◦–—]|\d{{1,3}}[)\uE000]|\d{{1,3}} [-–]|\p{{L}}\))[ \t]|\G(?!\A))[^{_T}\n\uE002]*+)[{_T}]"
 
-_POINTS = "|".join(
+# all begin with the point, so that a look at one character rules out most places
+_POINTS = r"\.(?:" + "|".join(
     (
-        r"\.(?=\d)(?<=[\d]\.)",  # decimals, versions
-        r"\.(?=[\p{Ll}\d_@/])(?<=[\p{L}\d_)]\.)",  # file names, addresses, i.e.
-        rf"(?iu:\.(?<=(?<![\p{{L}}\p{{N}}])(?:{_ABBR})\.))",
-        r"\.(?<=(?<![\p{L}\p{N}'’])\p{L}\.)",  # initials and other single letters
-        r"\.(?<=[.]\p{L}\.)",
-        rf"\.(?={_W}*\d)(?<=\b(?:{'|'.join(MONTHS.split())})\.)",
-        rf"\.(?={_W}+(?:(?:{'|'.join(AFTER_ORDINAL.split())})\b|\p{{Ll}}))(?<=(?<![\p{{L}}\d.,])\d{{1,2}}\.)",
-        r"\.(?<=\p{L}\s{1,2}Oh\.)",
-        r"[.?!](?=[^\s])(?<=(?:https?://|www[.])\S{0,200})",
+        r"(?=\d)(?<=[\d]\.)",  # decimals, versions
+        r"(?=[\p{Ll}\d_@/])(?<=[\p{L}\d_)]\.)",  # file names, addresses, i.e.
+        r"(?<=(?<![\p{L}\p{N}'’])\p{L}\.)",  # initials and other single letters
+        r"(?<=[.]\p{L}\.)",
+        rf"(?iu:(?<=(?<![\p{{L}}\p{{N}}])(?:{_ABBR})\.))",
+        rf"(?={_W}*\d)(?<=\b(?:{'|'.join(MONTHS.split())})\.)",
+        rf"(?={_W}+(?:(?:{'|'.join(AFTER_ORDINAL.split())})\b|\p{{Ll}}))(?<=(?<![\p{{L}}\d.,])\d{{1,2}}\.)",
+        r"(?<=\p{L}\s{1,2}Oh\.)",
     )
-)
+) + ")"
+_ADDRESS = r"[.?!](?=[^\s])(?<=(?:https?://|www[.])\S{0,200})"
 # marks inside brackets and quotations, but for the last one before a closing quote
 _BRACKETS = r"([（『《](?=[^（）『』《》\n]{0,200}[）』》])|\G(?!\A))([^（）『』《》。！？!?.…]*+)[。！？!?.…]"
 _ROUND = r"((?:(?<=[^\s.!?…)]\s?)\((?=[^()]{0,300}\))|\G(?!\A))[^().!?…]*+)[.!?…]"
@@ -76,8 +77,8 @@ _OPEN = "[“„\"«‹‘'(\\[¿¡「『《（—–]"
 
 
 def _ends(start: str) -> str:
-    """Where a sentence ends, before a text that starts as given."""
-    return "|".join(
+    """Where a sentence ends, before a text that starts as given; a look at one character rules out most places."""
+    return rf"(?=[{_T}。！？｡।॥\n\uE002])(?:" + "|".join(
         (
             rf"[{_T}]+(?:{_W}?»|{_CLOSE})*(?={_W}+{_OPEN}*{_W}?(?:{start}))(?!{_W}+[—–]{_W}?\p{{Ll}})",
             rf"(?<=[\p{{Ll}}\p{{N}}\p{{Lo}})”»\"!?…])[{_T}]+[”»\")]*(?=[“«]?\p{{Lu}}[\p{{Ll}}'’.])",
@@ -85,12 +86,12 @@ def _ends(start: str) -> str:
             rf"(?<![.…])\.(?![.…])(?<!\b(?:etc|usw|Inc|Ltd|Co|Corp|Bros|Jr|hrsg)\.)(?={_W}+\p{{Ll}})",
             r"[。！？｡](?:[。！？｡]|[」』”’）》])*",
             rf"[।॥](?:{_CLOSE})*(?={_W}|\p{{L}}|[“\"(])",
-            rf"(?<=[฀-๿])(?={_W}+[฀-๿])",
             r"(?=\n[ \t\r]*\n)|\uE002",
         )
-    )
+    ) + ")"
 
 
+_THAI = rf"([\u0E00-\u0E7F])(?={_W}+[\u0E00-\u0E7F])"
 _STARTS = r"\p{Lu}|\p{Lo}|\p{N}|\p{Ll}\p{Lu}"
 _ENDS = _ends(_STARTS)
 _ENDS_SMALL = _ends(_STARTS + r"|\p{Ll}")
@@ -101,20 +102,24 @@ def _replace(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+def _holds(c: Column, marks: str) -> Column:
+    found = F.lit(False)
+    for mark in marks:
+        found = found | F.contains(c, F.lit(mark))
+    return found
+
+
 def masked(df: DataFrame, text: str = "text", to: str = "masked") -> DataFrame:
     """``df`` with the text in which every mark that ends no sentence is masked, character by character."""
-    c = F.translate(F.col(text), MASK + CUT + BREAK, "\ue00f" * 3)
-    out = df.withColumn(to, c)
-    has = lambda pattern: F.col(to).rlike(pattern)
-    lists = rf"(?:\A|\n[ \t]*\n){_MARK}"
-    step = _replace(F.col(to), _LIST_BREAK, f"$1{BREAK}")
-    step = _replace(step, _LIST_NUMBER, f"$1{MASK}")
-    step = _replace(step, _LIST_INNER, f"$1{MASK}")
-    out = out.withColumn(to, F.when(has(lists), step).otherwise(F.col(to)))
-    out = out.withColumn(to, _replace(F.col(to), _POINTS, MASK))
-    for mark, pattern, keep in (("[（『《]", _BRACKETS, "$1$2"), ("「", _CORNER, "$1"), ("[(]", _ROUND, "$1"), ("[“„]", _CURLY, "$1"), ("«", _ANGLE, "$1"), ('"', _STRAIGHT, "$1")):
-        out = out.withColumn(to, F.when(has(mark), _replace(F.col(to), pattern, f"{keep}{MASK}")).otherwise(F.col(to)))
-    return out.withColumn(to, F.when(has("[”\"]"), _replace(F.col(to), _REPORTED, MASK)).otherwise(F.col(to)))
+    m = F.col(to)
+    out = df.withColumn(to, F.translate(F.col(text), MASK + CUT + BREAK, "\ue00f" * 3))
+    listed = _replace(_replace(_replace(m, _LIST_BREAK, f"$1{BREAK}"), _LIST_NUMBER, f"$1{MASK}"), _LIST_INNER, f"$1{MASK}")
+    out = out.withColumn(to, F.when(F.contains(m, F.lit("\n")) & m.rlike(rf"(?:\A|\n[ \t]*\n){_MARK}"), listed).otherwise(m))
+    out = out.withColumn(to, F.when(F.contains(m, F.lit("://")) | F.contains(m, F.lit("www.")), _replace(m, _ADDRESS, MASK)).otherwise(m))
+    out = out.withColumn(to, _replace(m, _POINTS, MASK))
+    for marks, pattern, keep in (("（『《", _BRACKETS, "$1$2"), ("「", _CORNER, "$1"), ("(", _ROUND, "$1"), ("“„", _CURLY, "$1"), ("«", _ANGLE, "$1"), ('"', _STRAIGHT, "$1"), ('”"', _REPORTED, "")):
+        out = out.withColumn(to, F.when(_holds(m, marks), _replace(m, pattern, f"{keep}{MASK}")).otherwise(m))
+    return out
 
 
 def sentence_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +127,7 @@ def sentence_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     out = masked(df.where(F.col(text).isNotNull()).select(key, text))
     m = F.col("masked")
     cut = F.when(m.rlike(r"\p{Lu}"), _replace(m, _ENDS, f"$0{CUT}")).otherwise(_replace(m, _ENDS_SMALL, f"$0{CUT}"))
-    out = out.select(key, F.split(cut, CUT).alias("pieces"))
+    out = out.select(key, cut.alias("cut")).select(key, F.split(F.when(F.col("cut").rlike("[\\u0E00-\\u0E7F]"), _replace(F.col("cut"), _THAI, f"$1{CUT}")).otherwise(F.col("cut")), CUT).alias("pieces"))
     empty = F.array_repeat(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), 0)
 
     def add(state: Column, piece: Column) -> Column:
