@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lookalike", "format_dedup", "mojibake", "survivor", "packing", "sentences", "truncation")
+MODULES = ("variants", "lookalike", "format_dedup", "mojibake", "survivor", "truncation", "packing", "sentences")
 
 
 def queries() -> dict:

@@ -42,7 +42,7 @@ _WIDE = frozenset({"shift_jis", "euc_jp", "gbk"})
 
 _BROKEN = regex.compile(r"[\x80-\x9f�￾￿]")
 _LOST = regex.compile(r"(?<=\p{L})\?(?=\p{Ll})|(?<=\p{Lu}\p{Lu})\?(?=\p{Lu})|(?:^|(?<=[\s\"(\[&]))\?(?=\p{L})")
-_SIGN = r"¢-©¬®-¶¸¹¼-¾×÷ƒˆ-˝†-•‰‹›‚„⁄ⁿ₧€™Ω∀-⏿─-◿ﬁﬂ"
+_SIGN = r"¢-©¬®-¶¸¹¼-¾×÷ƒˆ-˝†-•‰‹›‚„⁄ⁿ₧€№™Ω∀-⏿─-◿ﬁﬂ"
 _SUSPECT = regex.compile(rf"(?<=[\p{{L}}{_SIGN}])[{_SIGN}¡¿“”‘ªº«»…·–—](?=[\p{{L}}{_SIGN}])|(?<=[\p{{L}}{_SIGN}])[{_SIGN}]|[{_SIGN}](?=[\p{{L}}{_SIGN}])|(?<=\p{{L}})[¡¿]")
 _CASE = regex.compile(r"(?<=\p{Ll})[À-ÞŒŠŸŽ](?![\p{Lu}])|(?<=\p{Lu}\p{Lu})[à-ÿœšž](?=\p{Lu})|(?<=\p{Lu})ÿ(?=\p{Lu})")
 _SHARP = regex.compile(r"(?<![aeiouyäöüAEIOUYÄÖÜ])ß|(?<=\p{Lu})ß(?=\p{Lu})")
