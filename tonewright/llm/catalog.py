@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("variants", "lookalike", "format_dedup", "mojibake", "survivor", "truncation", "packing", "sentences")
+MODULES = ("variants", "lookalike", "format_dedup", "mojibake", "survivor", "truncation", "canonical", "packing", "sentences")
 
 
 def queries() -> dict:

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
 TEXTS = ("tag_artist", "tag_album", "tag_title", "tag_albumartist", "tag_date")
@@ -53,12 +54,10 @@ def best_member(rows: DataFrame) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The file that is no worse than each other file of its cluster in all four values and better than each in one."""
     # files that agree in all four values count together, before any shuffle by cluster
-    values = members(spark, folder).groupBy("cluster_key", *RANKED).agg(F.min("file_id").alias("file_id"), F.count("*").alias("n"))
-    values = values.withColumn("preferred", F.lit(False))
-    top = Window.partitionBy("cluster_key").orderBy(*(F.col(c).desc() for c in RANKED))
-    group = Window.partitionBy("cluster_key")
-    ranked = values.select("cluster_key", "file_id", "n", *RANKED, F.row_number().over(top).alias("place"), *(F.max(c).over(group).alias(f"most_{c}") for c in RANKED), F.sum("n").over(group).alias("files"))
-    best = ranked.where("place = 1 and n = 1 and files > 1")
+    values = cut(members(spark, folder).groupBy("cluster_key", *RANKED).agg(F.min("file_id").alias("file_id"), F.count("*").alias("n")))
+    top = best_member(values.withColumn("preferred", F.lit(False)))
+    groups = values.groupBy("cluster_key").agg(*(F.max(c).alias(f"most_{c}") for c in RANKED), F.sum("n").alias("files"))
+    best = top.join(groups, "cluster_key").where("n = 1 and files > 1")
     for c in RANKED:
         best = best.where(F.col(c) == F.col(f"most_{c}"))
     return best.select("cluster_key", "file_id")
