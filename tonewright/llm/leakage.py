@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
-STRIDE = 20  # words; a window is two strides
-RANK = 256
+STRIDE = 24  # words; a window is two strides
+RANK = 128
 EXTRA = 16
 FIT_DOCUMENTS = 4000
-THRESHOLD = 0.3
+THRESHOLD = 0.18
 LEAST_SHARE = 0.485  # of an item's words
 LEAST_KEPT = 0.86  # of the words of a stretch
 GRAM, LEAST_GRAMS = 4, 0.36  # runs of words as they are, in proportion to an item's words
@@ -194,7 +194,7 @@ def leaks(documents: DataFrame, evaluation: DataFrame, threshold: float = THRESH
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
     other = len(vocabulary)
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    total = docs.count()
+    total = documents.count()
     share = min(1.0, FIT_DOCUMENTS / max(total, 1))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
