@@ -24,8 +24,8 @@ from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
 GRAM = 4
-THRESHOLD = 0.22
-POWER = 1.5
+THRESHOLD = 0.25
+POWER = 3.0  # of the inverse document frequency in the list
 
 
 @arrow_udf(IntegerType())
@@ -68,33 +68,37 @@ def _grams(names: DataFrame, key: str, form: str) -> DataFrame:
     return pad.select(key, F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("t", i, F.lit(GRAM)))).alias("gram")).distinct()
 
 
+def _rarest(grams: DataFrame, key: str) -> DataFrame:
+    """(gram, key, w): the weights scaled to length one, without the commonest n-grams, as far as those make up
+    less than the threshold's square of the length."""
+    rising = Window.partitionBy(key).orderBy("w", "gram")
+    squares = grams.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rising)).withColumn("all", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return squares.where(F.col("rest") >= THRESHOLD * THRESHOLD * F.col("all")).select("gram", key, (F.col("w") / F.sqrt("all")).alias("w"))
+
+
 def candidates(typed: DataFrame, listed: DataFrame) -> DataFrame:
-    """(key, entry_key, cosine) of all pairs at or above the threshold."""
-    index = cut(_grams(listed, "entry_key", "entry_form"))
-    total = listed.count()
-    weights = cut(index.groupBy("gram").agg(F.pow(F.log(1 + F.lit(float(total)) / F.count("*")), F.lit(POWER)).alias("w")))
-    unseen = F.pow(F.log(F.lit(1.0 + max(total, 1))), F.lit(POWER))
-    looked = _grams(typed, "key", "form").join(weights, "gram", "left").select("key", "gram", F.col("w").isNotNull().alias("listed"), F.coalesce("w", unseen).alias("w"))
-    rising = Window.partitionBy("key").orderBy("w", "gram")
-    q = cut(looked.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rising)).withColumn("norm", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key"))).where("listed").select("key", "gram", "w", "rest", "norm"))
-    weighted = cut(index.join(weights, "gram"))
-    norms = weighted.groupBy("entry_key").agg(F.sum(F.col("w") * F.col("w")).alias("entry_norm"))
-    postings = weighted.select("gram", "entry_key")
-    # an entry that shares none of these n-grams can't reach the threshold
-    probes = q.where(F.col("rest") >= THRESHOLD * THRESHOLD * F.col("norm"))
-    rare = probes.join(postings, "gram").groupBy("key", "entry_key").agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.first("norm").alias("norm"), F.min("rest").alias("least"))
-    scored = rare.join(norms, "entry_key")
-    # what the n-grams that weren't looked up could add is less than the threshold's share of the norm
-    most = F.col("dot") + THRESHOLD * THRESHOLD * F.col("norm")
-    return scored.withColumn("cosine", F.col("dot") / F.sqrt(F.col("norm") * F.col("entry_norm"))).where(most / F.sqrt(F.col("norm") * F.col("entry_norm")) >= THRESHOLD).select("key", "entry_key", "cosine")
+    """(typed_id, entry_id, cosine) of the pairs at or above the threshold; typed and listed come with their ids."""
+    index = cut(_grams(listed, "entry_id", "entry_form"))
+    weights = cut(index.groupBy("gram").agg(F.count("*").alias("df")))
+    size = weights.agg(F.sum("df").alias("postings"), F.count("*").alias("grams")).first()
+    total = float(listed.count())
+    weigh = lambda df: F.pow(F.log(1 + F.lit(total) / df), F.lit(POWER))
+    # an n-gram that the list doesn't have counts as one of average frequency
+    usual = F.lit(max((size.postings or 0) / max(size.grams, 1), 1.0))
+    entry_side = _rarest(index.join(weights, "gram").withColumn("w", weigh(F.col("df"))), "entry_id").withColumnRenamed("w", "we")
+    looked = _grams(typed, "typed_id", "form").join(weights, "gram", "left").withColumn("w", weigh(F.coalesce("df", usual)))
+    typed_side = _rarest(looked, "typed_id")
+    pairs = typed_side.join(entry_side, "gram").groupBy("typed_id", "entry_id").agg(F.sum(F.col("w") * F.col("we")).alias("cosine"))
+    return pairs.where(F.col("cosine") >= THRESHOLD - THRESHOLD * THRESHOLD)
 
 
 def mapped(spark: SparkSession, folder: str) -> DataFrame:
     """(key, canonical_name, cosine, cost, ambiguous) of every typed key that is no entry's key."""
-    listed = cut(entries(spark, folder))
-    typed = cut(typed_keys(spark, folder).join(listed.select(F.col("entry_key").alias("key")), "key", "left_anti"))
+    # the checkpoint fixes the ids, so they are the same wherever they are read
+    listed = cut(entries(spark, folder).withColumn("entry_id", F.monotonically_increasing_id()))
+    typed = cut(typed_keys(spark, folder).join(listed.select(F.col("entry_key").alias("key")), "key", "left_anti").withColumn("typed_id", F.monotonically_increasing_id()))
     wanted = typed.where(~F.col("credit") & ~F.concat_ws(" ", F.array_sort(F.split("form", " "))).isin(*PLACEHOLDERS))
-    pairs = candidates(wanted, listed).join(typed.select("key", "form"), "key").join(listed, "entry_key")
+    pairs = candidates(wanted, listed).join(typed.select("typed_id", "key", "form"), "typed_id").join(listed, "entry_id")
     fits = pairs.withColumn("cost", alignment("form", "entry_form", "key", "entry_key")).where("cost is not null")
     best = fits.groupBy("key").agg(F.min(F.struct("cost", (-F.col("cosine")).alias("far"), "canonical_name")).alias("best"), F.array_sort(F.collect_list("cost")).alias("costs"))
     chosen = best.select("key", "best.canonical_name", (-F.col("best.far")).alias("cosine"), "best.cost", ((F.size("costs") > 1) & (F.get("costs", F.lit(0)) == F.get("costs", F.lit(1)))).alias("ambiguous"))

@@ -77,6 +77,9 @@ def name_parts(raws: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("key", pa.string()), ("form", pa.string()), ("credit", pa.bool_())]))
 
 
+name_parts = name_parts.asNondeterministic()  # or a filter on the result would evaluate it again
+
+
 def near(a: str, b: str) -> bool:
     """Whether one insertion, deletion, substitution or swap of neighbours turns a into b."""
     if a == b:
