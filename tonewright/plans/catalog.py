@@ -37,8 +37,9 @@ def rule(name: str, field: str, fn: Callable[[Column], Column], sql: str) -> Non
     add(name, make, f"select value, {sql} as result from (select distinct coalesce({field}, '') as value from metadata)")
 
 
-def over(name: str, source: Query, sql: str, **made: Column) -> None:
-    add(name, lambda spark, folder: source(spark, folder).select(*(c.alias(k) for k, c in made.items())), sql)
+def over(name: str, source: Query, sql: str, made: Callable[[], dict[str, Column]]) -> None:
+    """Columns made from the rows of a source; they are built when the query is, as that needs a session."""
+    add(name, lambda spark, folder: source(spark, folder).select(*(c.alias(k) for k, c in made().items())), sql)
 
 
 v = "value"
@@ -65,8 +66,8 @@ rule("f41_year", "tag_date", P.year_of, D.year_of(v))
 
 c = F.col
 over("f10_path_names", library, f"{D.LIB} select file_id, case when tag_albumartist <> '' then tag_albumartist when tag_artist <> '' then tag_artist else 'Unknown Artist' end as artist, case when tag_album <> '' then tag_album else 'Unknown Album' end as album, case when tag_title <> '' then tag_title else {D.stem('src_path')} end as title from lib",
-     file_id=c("file_id"), artist=F.coalesce(F.nullif("tag_albumartist", F.lit("")), F.nullif("tag_artist", F.lit("")), F.lit("Unknown Artist")), album=F.coalesce(F.nullif("tag_album", F.lit("")), F.lit("Unknown Album")), title=F.coalesce(F.nullif("tag_title", F.lit("")), P.stem(c("src_path"))))
-over("f17_detect_compilation", library, f"{D.LIB} select file_id, {D.has('lower(src_path)', T.COMPILATION_PATHS)} or {D.has('lower(tag_album)', T.COMPILATION_ALBUMS)} as result from lib", file_id=c("file_id"), result=T.is_compilation(c("src_path"), c("tag_album")))
+     lambda: dict(file_id=c("file_id"), artist=F.coalesce(F.nullif("tag_albumartist", F.lit("")), F.nullif("tag_artist", F.lit("")), F.lit("Unknown Artist")), album=F.coalesce(F.nullif("tag_album", F.lit("")), F.lit("Unknown Album")), title=F.coalesce(F.nullif("tag_title", F.lit("")), P.stem(c("src_path")))))
+over("f17_detect_compilation", library, f"{D.LIB} select file_id, {D.has('lower(src_path)', T.COMPILATION_PATHS)} or {D.has('lower(tag_album)', T.COMPILATION_ALBUMS)} as result from lib", lambda: dict(file_id=c("file_id"), result=T.is_compilation(c("src_path"), c("tag_album"))))
 
 
 def pattern_cleaning(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,15 +113,15 @@ rule("f26_disc_number", "tag_album", E.disc_number, "coalesce(" + ", ".join(f"tr
 _TF = (r"^(\d{1,3})\s*-\s*(.+)$", r"^(\d{1,3})\s+(.+)$", r"(?i)track\s+(\d{1,3})\s*-\s*(.+)$", r"-\s*(\d{1,3})\s*-\s*(.+)$")
 add("f27_track_filename", lambda s, f: table(s, f, "metadata", "tag_title").select(F.coalesce("tag_title", F.lit("")).alias("value")).distinct().select("value", *(x.alias(k) for k, x in E.track_filename(c("value")).items())),
     f"select value, case {' '.join(f'when regexp_matches(n_, {D.q(p)}) then try_cast({D.ext('n_', p, 1)} as int)' for p in _TF)} else 0 end track, case {' '.join(f'when regexp_matches(n_, {D.q(p)}) then {D.trimmed(D.ext('n_', p, 2))}' for p in _TF)} else '' end title from (select distinct coalesce(tag_title, '') as value, regexp_replace(coalesce(tag_title, ''), '\\.[^.]*$', '') n_ from metadata)")
-over("f28_folder_kinds", library, f"{D.LIB} select file_id, regexp_matches({_ONE}, '^\\d+$') as \"numeric\", {_TWO} in ('_Singles', 'Various Artists', 'Unknown Artist', 'Unknown Album', '.', '..') special from lib", file_id=c("file_id"), numeric=E.is_numeric_folder(P.folder(c("src_path"))), special=E.is_special_folder(P.folder(c("src_path"), 1)))
-over("f29_duration_bucket", one_metadata, f"with {D.META1} select file_id, {D.BUCKET} bucket from meta1", file_id=c("file_id"), bucket=S.duration_bucket(c("duration_ms")))
+over("f28_folder_kinds", library, f"{D.LIB} select file_id, regexp_matches({_ONE}, '^\\d+$') as \"numeric\", {_TWO} in ('_Singles', 'Various Artists', 'Unknown Artist', 'Unknown Album', '.', '..') special from lib", lambda: dict(file_id=c("file_id"), numeric=E.is_numeric_folder(P.folder(c("src_path"))), special=E.is_special_folder(P.folder(c("src_path"), 1))))
+over("f29_duration_bucket", one_metadata, f"with {D.META1} select file_id, {D.BUCKET} bucket from meta1", lambda: dict(file_id=c("file_id"), bucket=S.duration_bucket(c("duration_ms"))))
 add("f30_cluster_key", lambda s, f: L.with_cluster_key(library(s, f)).select("file_id", c("key").alias("cluster_key")), f"{D.KEYED} select file_id, \"key\" cluster_key from keyed")
-over("f33_codec_score", library, f"{D.LIB} select file_id, {D.codec_score()} score from lib", file_id=c("file_id"), score=S.codec_score(c("codec"), c("lossless"), c("bitrate_kbps")))
-over("f34_bit_depth_score", library, f"{D.LIB} select file_id, {D.DEPTH} score from lib", file_id=c("file_id"), score=S.bit_depth_score(c("bit_depth")))
-over("f35_sample_rate_score", library, f"{D.LIB} select file_id, {D.RATE} score from lib", file_id=c("file_id"), score=S.sample_rate_score(c("sample_rate")))
-over("f36_tag_score", library, f"{D.LIB} select file_id, {D.TAGS} score from lib", file_id=c("file_id"), score=S.tag_score(c("tag_artist"), c("tag_album"), c("tag_title"), c("tag_track")))
+over("f33_codec_score", library, f"{D.LIB} select file_id, {D.codec_score()} score from lib", lambda: dict(file_id=c("file_id"), score=S.codec_score(c("codec"), c("lossless"), c("bitrate_kbps"))))
+over("f34_bit_depth_score", library, f"{D.LIB} select file_id, {D.DEPTH} score from lib", lambda: dict(file_id=c("file_id"), score=S.bit_depth_score(c("bit_depth"))))
+over("f35_sample_rate_score", library, f"{D.LIB} select file_id, {D.RATE} score from lib", lambda: dict(file_id=c("file_id"), score=S.sample_rate_score(c("sample_rate"))))
+over("f36_tag_score", library, f"{D.LIB} select file_id, {D.TAGS} score from lib", lambda: dict(file_id=c("file_id"), score=S.tag_score(c("tag_artist"), c("tag_album"), c("tag_title"), c("tag_track"))))
 add("f37_quality_score", lambda s, f: L.with_score(library(s, f)).select("file_id", "score"), f"{D.LIB} select file_id, {D.QUALITY} score from lib")
-over("s10_lossless_codec", one_metadata, f"with {D.META1} select file_id, lower(codec) in ({', '.join(map(D.q, S.LOSSLESS_CODECS))}) or starts_with(lower(codec), 'pcm_') result from meta1", file_id=c("file_id"), result=S.is_lossless(c("codec")))
+over("s10_lossless_codec", one_metadata, f"with {D.META1} select file_id, lower(codec) in ({', '.join(map(D.q, S.LOSSLESS_CODECS))}) or starts_with(lower(codec), 'pcm_') result from meta1", lambda: dict(file_id=c("file_id"), result=S.is_lossless(c("codec"))))
 
 
 def proximity(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,19 +133,19 @@ def proximity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 add("f38_duration_proximity", proximity, f"{D.KEYED}, m as (select file_id, (max(duration_ms) over (partition by \"key\") - duration_ms)::bigint gap_ms from keyed) select file_id, gap_ms, (case when gap_ms <= 1500 then 6 when gap_ms <= 3000 then 3 when gap_ms <= 5000 then 1 else -2 end)::double score from m")
-over("f39_extension", latest_files, f"with {D.FILES1} select file_id, {D.extension('src_path')} result from files1", file_id=c("file_id"), result=P.extension(c("src_path")))
+over("f39_extension", latest_files, f"with {D.FILES1} select file_id, {D.extension('src_path')} result from files1", lambda: dict(file_id=c("file_id"), result=P.extension(c("src_path"))))
 add("f42_dest_path", lambda s, f: L.with_destination(library(s, f)).select("file_id", "compilation", "dest_path"), f"{D.LIB}, {D.destination('lib')} select file_id, compilation, dest_path from dest")
 _UNITS = " ".join(f"when size_bytes >= {1024**p} then printf('%.1f', round_even(size_bytes / {float(1024**p)}, 1)) || ' {u}B'" for p, u in reversed(list(enumerate("KMGTPE", 1))))
-over("f43_format_bytes", latest_files, f"with {D.FILES1} select file_id, case {_UNITS} else size_bytes::varchar || ' B' end result from files1", file_id=c("file_id"), result=P.byte_size(c("size_bytes")))
-over("f44_format_duration", one_metadata, f"with {D.META1} select file_id, (duration_ms // 1000 // 60)::varchar || ':' || {D.two('duration_ms // 1000 % 60')} result from meta1", file_id=c("file_id"), result=P.minutes(c("duration_ms")))
-over("f45_truncate_path", latest_files, f"with {D.FILES1} select file_id, case when strlen(src_path) <= 40 then src_path else substr(src_path, 1, 18) || '...' || right(src_path, 18) end result from files1", file_id=c("file_id"), result=P.shortened(c("src_path"), 40))
-over("f46_normalize_path", latest_files, f"with {D.FILES1} select file_id, lower(src_path) result from files1", file_id=c("file_id"), result=F.lower("src_path"))
-over("f48_retryable_error", latest_files, f"with {D.FILES1} select file_id, error, {D.has('lower(error)', T.TRANSIENT_ERRORS)} result from files1 where error <> ''", file_id=c("file_id"), error=c("error"), result=T.is_transient(c("error")))
+over("f43_format_bytes", latest_files, f"with {D.FILES1} select file_id, case {_UNITS} else size_bytes::varchar || ' B' end result from files1", lambda: dict(file_id=c("file_id"), result=P.byte_size(c("size_bytes"))))
+over("f44_format_duration", one_metadata, f"with {D.META1} select file_id, (duration_ms // 1000 // 60)::varchar || ':' || {D.two('duration_ms // 1000 % 60')} result from meta1", lambda: dict(file_id=c("file_id"), result=P.minutes(c("duration_ms"))))
+over("f45_truncate_path", latest_files, f"with {D.FILES1} select file_id, case when strlen(src_path) <= 40 then src_path else substr(src_path, 1, 18) || '...' || right(src_path, 18) end result from files1", lambda: dict(file_id=c("file_id"), result=P.shortened(c("src_path"), 40)))
+over("f46_normalize_path", latest_files, f"with {D.FILES1} select file_id, lower(src_path) result from files1", lambda: dict(file_id=c("file_id"), result=F.lower("src_path")))
+over("f48_retryable_error", latest_files, f"with {D.FILES1} select file_id, error, {D.has('lower(error)', T.TRANSIENT_ERRORS)} result from files1 where error <> ''", lambda: dict(file_id=c("file_id"), error=c("error"), result=T.is_transient(c("error"))))
 _f48 = QUERIES["f48_retryable_error"]
 add("f48_retryable_error", lambda s, f: _f48(s, f).where("error <> ''"), SQL["f48_retryable_error"])
 _TRACK = r'"track":\s*"?([^",}]*)'
-over("f47_int_or_text", one_metadata, f"with {D.META1} select file_id, case when regexp_matches({D.ext('raw_tags_json', _TRACK, 1)}, '^[+-]?\\d+$') then {D.ext('raw_tags_json', _TRACK, 1)}::bigint else 0 end result from meta1", file_id=c("file_id"), result=T.int_or_text(F.regexp_extract("raw_tags_json", _TRACK, 1)))
-over("s8_json_track", one_metadata, f"with {D.META1} select file_id, coalesce(try_cast({D.ext('raw_tags_json', r'"track":\s*"?\s*([+-]?\d+)', 1)} as int), 0) track from meta1", file_id=c("file_id"), track=F.coalesce(F.regexp_extract("raw_tags_json", r'"track":\s*"?\s*([+-]?\d+)', 1).try_cast("int"), F.lit(0)))
+over("f47_int_or_text", one_metadata, f"with {D.META1} select file_id, case when regexp_matches({D.ext('raw_tags_json', _TRACK, 1)}, '^[+-]?\\d+$') then {D.ext('raw_tags_json', _TRACK, 1)}::bigint else 0 end result from meta1", lambda: dict(file_id=c("file_id"), result=T.int_or_text(F.regexp_extract("raw_tags_json", _TRACK, 1))))
+over("s8_json_track", one_metadata, f"with {D.META1} select file_id, coalesce(try_cast({D.ext('raw_tags_json', r'"track":\s*"?\s*([+-]?\d+)', 1)} as int), 0) track from meta1", lambda: dict(file_id=c("file_id"), track=F.coalesce(F.regexp_extract("raw_tags_json", r'"track":\s*"?\s*([+-]?\d+)', 1).try_cast("int"), F.lit(0))))
 
 
 def distinct_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +158,7 @@ add("f49_dedupe_names", distinct_names, "select lower(trim(search_name, ' ')) fo
 
 def cache(spark: SparkSession, folder: str) -> DataFrame:
     """The latest answer per folded search name."""
-    m = table(spark, folder, "musicbrainz_cache").where("trim(search_name) <> '' and canonical_name <> ''").withColumn("folded", F.lower(F.trim("search_name")))
+    m = table(spark, folder, "musicbrainz_cache", "search_name", "canonical_name", "aliases", "cached_at").where("trim(search_name) <> '' and canonical_name <> ''").withColumn("folded", F.lower(F.trim("search_name")))
     order = Window.partitionBy("folded").orderBy(c("cached_at").desc_nulls_last(), c("canonical_name"), c("search_name"))
     return m.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
@@ -251,7 +252,7 @@ def file_key(size: Column, mtime: Column) -> Column:
     return F.sha1(F.concat_ws(":", size.cast("string"), mtime.cast("string")).cast("binary"))
 
 
-over("s4_portable_file_key", latest_files, f"with {D.FILES1} select file_id, sha1(size_bytes::varchar || ':' || mtime_unix::varchar) result from files1", file_id=c("file_id"), result=file_key(c("size_bytes"), c("mtime_unix")))
+over("s4_portable_file_key", latest_files, f"with {D.FILES1} select file_id, sha1(size_bytes::varchar || ':' || mtime_unix::varchar) result from files1", lambda: dict(file_id=c("file_id"), result=file_key(c("size_bytes"), c("mtime_unix"))))
 
 
 def queries() -> dict[str, Query]:

@@ -15,7 +15,7 @@ FILE_TEXTS = ("file_key", "src_path", "sha1", "status", "error")
 
 def latest_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file: of several scans the latest, equal times by status and error."""
-    f = table(spark, folder, "files")
+    f = table(spark, folder, "files", "file_id", *FILE_TEXTS, "size_bytes", "mtime_unix", "first_seen_at", "last_update_at")
     order = Window.partitionBy("file_id").orderBy(F.col("last_update_at").desc_nulls_last(), F.col("status"), F.coalesce("error", F.lit("")))
     one = f.where("file_id is not null").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
     return one.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in FILE_TEXTS} | {c: F.coalesce(F.col(c), F.lit(0)) for c in ("size_bytes", "mtime_unix")})
@@ -23,7 +23,7 @@ def latest_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def one_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file with its tags, repeated rows dropped."""
-    m = table(spark, folder, "metadata").where("file_id is not null")
+    m = table(spark, folder, "metadata", "file_id", *TEXTS, *NUMBERS, *FLAGS).where("file_id is not null")
     filled = {c: F.coalesce(F.col(c), F.lit("")) for c in TEXTS} | {c: F.coalesce(F.col(c), F.lit(0)) for c in NUMBERS} | {c: F.coalesce(F.col(c), F.lit(False)) for c in FLAGS}
     return m.withColumns(filled).dropDuplicates(["file_id"])
 
