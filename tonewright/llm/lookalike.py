@@ -58,7 +58,9 @@ def canonical(text: str) -> str:
         text = _JOINED.sub(_KEPT, text)
     text = _HYPHEN.sub("-", _BLANK.sub(" ", _HIDE.sub("", text)))
     text = _SEGMENT.sub(_stable, text)
-    text = WORD.sub(lambda m: plain_word(m[0]), text)
+    plain = WORD.sub(lambda m: plain_word(m[0]), text)
+    if plain != text:  # a letter that changed may combine with the mark after it
+        text = _SEGMENT.sub(_stable, plain)
     if kept:
         parts = text.split(_KEPT)
         text = parts[0] + "".join(a + b for a, b in zip(kept, parts[1:]))

@@ -31,6 +31,9 @@ SHORT_FORMS = {
 }
 _SHORT = {(short, name) for name, shorts in SHORT_FORMS.items() for short in shorts.split()}
 
+# the full name of each short form and of each start of three or more letters; a form of several names goes to the first
+FULL_NAMES = {short: name for name, shorts in reversed(SHORT_FORMS.items()) for short in (*(name[:k] for k in range(3, len(name))), *shorts.split())}
+
 _CREDIT = regex.compile(r"\b(?:feat|ft|featuring|vs|versus|with)\b", regex.I)
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu}\p{Ll})")
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+|&")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.functions.unicode import name_key
-from tonewright.llm.names import PLACEHOLDERS, align, corrected, name_parts
+from tonewright.llm.names import FULL_NAMES, PLACEHOLDERS, align, corrected, name_parts
 from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
@@ -118,7 +118,11 @@ def artist_names(forms: DataFrame) -> DataFrame:
     plain = names.select(F.array_distinct("tokens").alias("tokens")).distinct()
     pairs = plain.select("tokens", F.explode("tokens").alias("token")).select("token", F.explode("tokens").alias("other")).distinct()
     company = cut(pairs.groupBy("token").agg(F.count("*").alias("company")))
-    each = names.select("key", F.explode(F.array_distinct("tokens")).alias("token")).join(company, "token")
+    full = F.create_map(*(F.lit(x) for pair in FULL_NAMES.items() for x in pair))
+    each = names.select("key", F.explode(F.array_distinct("tokens")).alias("token")).withColumn("name", F.element_at(full, F.col("token")))
+    # a short form keeps the company of its name, however few artists use it
+    named = company.select(F.col("token").alias("name"), F.col("company").alias("more"))
+    each = each.join(company, "token").join(named, "name", "left").withColumn("company", F.greatest("company", F.coalesce("more", F.lit(0))))
     rank = F.struct((F.length("token") < 3).alias("short"), "company", (-F.length("token")).alias("long"), "token")
     anchors = each.groupBy("key").agg(F.min_by("token", rank).alias("anchor"))
     keyed = names.join(anchors, "key")
