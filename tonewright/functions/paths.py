@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tonewright.functions.text import canonical_artist, planned_album, trimmed
+from tonewright.functions.text import canonical_artist, let, planned_album, trimmed
 
 
 def base_name(path: Column) -> Column:
@@ -31,11 +31,17 @@ def folder(path: Column, above: int = 0) -> Column:
 
 def path_component(c: Column) -> Column:
     """A name without characters that file systems refuse; 'Unknown' if nothing is left."""
-    x = F.regexp_replace(F.translate(c, '/\\:*?"<>|!#@', "_" * 12), "_{2,}", "_")
-    x = F.regexp_replace(trimmed(F.regexp_replace(x, "^_+", "")), r"^[.]+|[.]+\z", "")
-    x = F.regexp_replace(x, r"_+\z", "")
-    cut = F.when(F.octet_length(x) > 200, F.regexp_replace(F.substring(x, 1, 200), r"[ _.]+\z", "")).otherwise(x)
-    return F.when((c == "") | (c == "_Singles"), c).when(x == "", "Unknown").otherwise(cut)
+
+    def made(v: Column) -> Column:
+        x = F.regexp_replace(F.translate(v, '/\\:*?"<>|!#@', "_" * 12), "_{2,}", "_")
+        x = F.regexp_replace(trimmed(F.regexp_replace(x, "^_+", "")), r"^[.]+|[.]+\z", "")
+        return F.regexp_replace(x, r"_+\z", "")
+
+    def checked(y: Column) -> Column:
+        cut = F.when(F.octet_length(y) > 200, F.regexp_replace(F.substring(y, 1, 200), r"[ _.]+\z", "")).otherwise(y)
+        return F.when(y == "", "Unknown").otherwise(cut)
+
+    return let(c, lambda v: F.when((v == "") | (v == "_Singles"), v).otherwise(let(made(v), checked)))
 
 
 def year_of(date: Column) -> Column:
@@ -48,12 +54,12 @@ def two_digits(n: Column) -> Column:
 
 def destination(root: str, c: dict[str, Column], compilation: Column) -> Column:
     """root/artist/[year - ]album/[Disc nn/][nn - ][artist - ]title.ext for the columns of a library row."""
-    missing = lambda x, other: F.when(x == "", other).otherwise(x)
+    missing = lambda x, other: let(x, lambda y: F.when(y == "", other).otherwise(y))
     owner = canonical_artist(missing(c["tag_albumartist"], missing(c["tag_artist"], F.lit("Unknown Artist"))))
     artist = path_component(F.when(compilation, "Various Artists").otherwise(owner))
     album = missing(planned_album(c["tag_album"]), F.lit("_Singles"))
-    year = year_of(c["tag_date"])
-    album = path_component(F.when(year == "", album).otherwise(F.concat(year, F.lit(" - "), album)))
+    year = let(year_of(c["tag_date"]), lambda y: F.when(y == "", "").otherwise(F.concat(y, F.lit(" - "))))
+    album = path_component(F.concat(year, album))
     track, total = c["tag_track"], c["tag_track_total"]
     number = F.when((total >= 100) & (track < 100), F.concat(F.lit("0"), two_digits(track))).otherwise(two_digits(track))
     prefix = F.when(track > 0, F.concat(number, F.lit(" - "))).otherwise(F.lit(""))

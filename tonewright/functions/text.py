@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ COMPILATION_ALBUMS = ("various", "compilation", "mixed by")
 TRANSIENT_ERRORS = ("timeout", "timed out", "connection reset", "connection refused", "connection aborted", "broken pipe", "no route to host", "network is unreachable", "network is down", "host is down", "temporary failure", "resource temporarily unavailable", "i/o error", "too many open files")
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def has_any(c: Column, parts: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for part in parts:
@@ -116,11 +123,15 @@ def title_case(c: Column) -> Column:
 
 def canonical_artist(c: Column) -> Column:
     """Consistent capitals: known exceptions, short names after '&' in capitals, else title case."""
-    t = trimmed(nfc(c))
     known = F.create_map(*(F.lit(x) for pair in CAPITAL_ARTISTS.items() for x in pair))
-    bare = F.regexp_replace(t, "^_?&?", "")
-    amp = F.when(F.octet_length(bare) <= 3, F.upper(bare)).otherwise(title_case(bare))
-    return F.coalesce(F.element_at(known, F.lower(t)), F.when(t.rlike("^_?&"), F.concat(F.lit("&"), amp)).otherwise(title_case(t)))
+
+    def after_sign(bare: Column) -> Column:
+        return F.concat(F.lit("&"), F.when(F.octet_length(bare) <= 3, F.upper(bare)).otherwise(title_case(bare)))
+
+    def named(t: Column) -> Column:
+        return F.coalesce(F.element_at(known, F.lower(t)), F.when(t.rlike("^_?&"), let(F.regexp_replace(t, "^_?&?", ""), after_sign)).otherwise(title_case(t)))
+
+    return let(trimmed(nfc(c)), named)
 
 
 def _quoted(text: str) -> str:
@@ -129,17 +140,20 @@ def _quoted(text: str) -> str:
 
 def planned_album(c: Column) -> Column:
     """The album as it goes into a path: no addresses, catalogue numbers and release marks; a leading year stays."""
-    t = trimmed(c)
-    year = trimmed(F.regexp_extract(t, r"^(\d{4}\s*-\s*)", 1))
-    name = trimmed(F.regexp_replace(t, r"^\d{4}\s*-\s*", ""))
-    address = F.startswith(name, F.lit("http")) | has_any(name, ("_soundcloud_", "_facebook_", "www_"))
-    x = F.regexp_replace(name, r"[-\s]*[\(\[]?[A-Z0-9]{3,15}[\)\]]?[-\s]*", " ")
-    for mark in PLAN_MARKERS:
-        x = F.regexp_replace(x, _quoted(mark) + r"\z", "")
-    x = one_space(F.regexp_replace(x, r"\[(?:www\.|by\s)[^\]]+\]", ""))
-    x = F.regexp_replace(F.replace(F.replace(x, F.lit("--"), F.lit("-")), F.lit("__"), F.lit("_")), r"^[ \-_]+|[ \-_]+\z", "")
-    x = F.when(address, "").otherwise(x)
-    return F.regexp_replace(F.concat(year, F.lit(" "), x), r"^ |^.* \z", "")
+
+    def cleaned(name: Column) -> Column:
+        x = F.regexp_replace(name, r"[-\s]*[\(\[]?[A-Z0-9]{3,15}[\)\]]?[-\s]*", " ")
+        for mark in PLAN_MARKERS:
+            x = F.regexp_replace(x, _quoted(mark) + r"\z", "")
+        x = one_space(F.regexp_replace(x, r"\[(?:www\.|by\s)[^\]]+\]", ""))
+        x = F.regexp_replace(F.replace(F.replace(x, F.lit("--"), F.lit("-")), F.lit("__"), F.lit("_")), r"^[ \-_]+|[ \-_]+\z", "")
+        return F.when(F.startswith(name, F.lit("http")) | has_any(name, ("_soundcloud_", "_facebook_", "www_")), "").otherwise(x)
+
+    def parts(t: Column) -> Column:
+        year = trimmed(F.regexp_extract(t, r"^(\d{4}\s*-\s*)", 1))
+        return F.concat(year, F.lit(" "), let(trimmed(F.regexp_replace(t, r"^\d{4}\s*-\s*", "")), cleaned))
+
+    return F.regexp_replace(let(trimmed(c), parts), r"^ |^.* \z", "")
 
 
 def is_address(c: Column) -> Column:

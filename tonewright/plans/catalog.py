@@ -55,7 +55,7 @@ rule("f9_safe_filename", "tag_title", T.safe_filename, D.safe_filename(v))
 rule("f11_canonical_artist", "tag_artist", T.canonical_artist, D.canonical_artist(v))
 rule("f12_title_case", "tag_title", T.title_case, D.title_case(v))
 rule("f13_clean_album_plan", "tag_album", T.planned_album, D.planned_album(v))
-rule("f14_clean_album_ingest", "tag_album", lambda c: F.when((T.ingested_album(c) == "") | T.is_address(T.ingested_album(c)), c).otherwise(T.ingested_album(c)), f"case when {D.ingested_album(v)} = '' or {D.is_address(D.ingested_album(v))} then value else {D.ingested_album(v)} end")
+rule("f14_clean_album_ingest", "tag_album", lambda c: T.let(T.ingested_album(c), lambda x: F.when((x == "") | T.is_address(x), c).otherwise(x)), f"case when {D.ingested_album(v)} = '' or {D.is_address(D.ingested_album(v))} then value else {D.ingested_album(v)} end")
 rule("f15_clean_artist", "tag_artist", T.cleaned_artist, f"case when lower(value) = 'unknown artist' then '' else {D.trimmed(v)} end")
 rule("f16_featured_artist", "tag_title", T.featured_artist, D.trimmed(D.ext(v, r"\s*[\(\[]\s*(?:feat\.?|ft\.?|featuring)\s+([^)\]]+)[\)\]]", 1)))
 rule("f18_catalog", "tag_album", T.catalogue_number, D.ext(v, r"[\(\[]([A-Z]{2,5}\d{3,5})[\)\]]", 1))
