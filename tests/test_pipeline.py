@@ -69,6 +69,16 @@ def test_query_and_reports(spark, small):
     assert 2 not in {r.file_id for r in R.executed(L.plans(lib), lib, done).collect()}
 
 
+def test_verification_and_doctor(spark):
+    a = spark.createDataFrame([(1, 5, "x"), (2, 6, "y")], "file_id long, size_bytes long, sha1 string")
+    b = spark.createDataFrame([(1, 5, "z")], "file_id long, size_bytes long, sha1 string")
+    assert {tuple(r) for r in R.verified(a, b).collect()} == {(1, True), (2, False)}
+    assert {r.verify_ok for r in R.verified(a, b, "hash").collect()} == {False} and {r.verify_ok for r in R.verified(a, b, "none").collect()} == {True}
+    with pytest.raises(ValueError):
+        R.verified(a, b, "full")
+    assert R.doctor({"files": a}, {"files": ("file_id", "status"), "metadata": ("file_id",)}) == [("files", "error", "lacks status"), ("metadata", "error", "no table")]
+
+
 def test_scan(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.mp3", "sub/B.FLAC", "sub/note.txt"):

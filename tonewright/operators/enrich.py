@@ -92,6 +92,25 @@ def enriched(lib: DataFrame) -> DataFrame:
     return out.withColumns({"filled": filled} | {f"_v_{c}": F.when(hit, v).otherwise(F.col(c)) for c, (hit, v) in fills.items()}).withColumns({c: F.col(f"_v_{c}") for c in fills}).drop(*(f"_v_{c}" for c in fills), *(f"_n_{k}" for k in name), *(f"_p_{k}" for k in path))
 
 
+def enriched_from_folders(lib: DataFrame) -> DataFrame:
+    """Missing tags from the two folders above the file and its name; filled lists what was filled, in order."""
+    album_part, artist_part = folder(F.col("src_path"), 0), folder(F.col("src_path"), 1)
+    named, numbered = year_album(F.col("_album")), track_filename(base_name(F.col("src_path")))
+    plain = ~is_numeric_folder(F.col("_album")) & ~is_special_folder(F.col("_album")) & (F.col("_album") != "")
+    out = lib.withColumns({"_album": album_part, "_artist": artist_part}).withColumns({"_named": named["album"], "_year": named["year"], "_track": numbered["track"], "_title": numbered["title"]})
+    artist = (F.col("tag_artist") == "") & (F.col("_artist") != "") & ~is_numeric_folder(F.col("_artist")) & ~is_special_folder(F.col("_artist"))
+    album = (F.col("tag_album") == "") & ((F.col("_named") != "") | plain)
+    year = (F.col("tag_album") == "") & (F.col("_named") != "") & (F.col("tag_date") == "")
+    disc = (F.col("tag_disc") == 0) & (disc_number(F.col("_album")) > 0)
+    track = (F.col("tag_track") == 0) & (F.col("_track") > 0)
+    title = (F.col("tag_title") == "") & (F.col("_title") != "")
+    hits = {"artist_from_path": artist, "album_from_path": album, "year_from_path": year, "disc_from_path": disc, "track_from_filename": track, "title_from_filename": title}
+    filled = F.concat_ws(",", *(F.when(hit, F.lit(name)) for name, hit in hits.items()))
+    values = {"tag_artist": (artist, "_artist"), "tag_album": (album, F.when(F.col("_named") != "", F.col("_named")).otherwise(F.col("_album"))), "tag_date": (year, "_year"), "tag_disc": (disc, disc_number(F.col("_album"))), "tag_track": (track, "_track"), "tag_title": (title, "_title")}
+    new = {f"_v_{c}": F.when(hit, F.col(v) if isinstance(v, str) else v).otherwise(F.col(c)) for c, (hit, v) in values.items()}
+    return out.withColumns({"filled": filled} | new).withColumns({c: F.col(f"_v_{c}") for c in values}).drop(*new, "_album", "_artist", "_named", "_year", "_track", "_title")
+
+
 def majority(lib: DataFrame, value: str) -> DataFrame:
     """(folder, value): of each folder the value that more than half of its files with one share."""
     counted = lib.where(F.col(value) != "").groupBy(parent(F.col("src_path")).alias("folder"), value).count()

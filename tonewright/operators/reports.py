@@ -45,6 +45,26 @@ def executed(plans: DataFrame, files: DataFrame, done: DataFrame | None = None)
     return ran.select("file_id", "action", "dest_path", F.when(fine, F.col("size_bytes")).otherwise(0).alias("bytes_written"), fine.alias("verify_ok"), F.when(fine, "").otherwise(F.col("error")).alias("error"))
 
 
+def verified(source: DataFrame, target: DataFrame, mode: str = "size") -> DataFrame:
+    """(file_id, verify_ok) of copies against their sources by size or hash; a missing copy fails. Mode none takes all as fine."""
+    if mode not in ("size", "hash", "none"):
+        raise ValueError(f"unknown verification {mode}")
+    if mode == "none":
+        return source.select("file_id", F.lit(True).alias("verify_ok"))
+    column = "size_bytes" if mode == "size" else "sha1"
+    copies = target.select("file_id", F.col(column).alias("_copy"))
+    return source.join(copies, "file_id", "left").select("file_id", F.coalesce(F.col(column) == F.col("_copy"), F.lit(False)).alias("verify_ok"))
+
+
+def doctor(tables: dict[str, DataFrame], needed: dict[str, tuple[str, ...]]) -> list[tuple[str, str, str]]:
+    """(table, level, message): whether each table is there with the columns it needs."""
+    out = []
+    for name, columns in needed.items():
+        missing = [c for c in columns if c not in tables[name].columns] if name in tables else list(columns)
+        out.append((name, "error" if missing else "ok", ("no table" if name not in tables else "lacks " + ", ".join(missing)) if missing else f"{len(columns)} columns"))
+    return out
+
+
 def duplicate_sets(members: DataFrame, top: int = 20) -> DataFrame:
     """The keys with most losers."""
     return members.groupBy("key").agg((F.count("*") - 1).alias("losers")).where("losers > 0").orderBy(F.col("losers").desc(), "key").limit(top)

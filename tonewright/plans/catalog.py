@@ -107,6 +107,23 @@ add("f22_infer_path", lambda s, f: library(s, f).select("file_id", *(x.alias(k)
 _FILL = {"tag_artist": ("tag_artist = '' and n_confidence >= 0.5 and a_ <> ''", "a_"), "tag_title": ("tag_title = '' and n_confidence >= 0.3 and n_title <> ''", "n_title"), "tag_album": ("tag_album = '' and p_album <> ''", "p_album"), "tag_date": ("tag_date = '' and p_year <> ''", "p_year"), "tag_track": ("tag_track = 0 and n_track > 0", "n_track"), "tag_disc": ("tag_disc = 0 and p_disc > 0", "p_disc")}
 add("f23_enrich", lambda s, f: E.enriched(library(s, f)).select("file_id", *E_FIELDS, "filled"), f"{D.LIB}, {_PARSED}, {_inferred('parsed')}, e as (select *, case when n_artist <> '' then n_artist else p_artist end a_ from inferred) select file_id, " + ", ".join(f"case when {hit} then {val} else {k} end {k}" for k, (hit, val) in _FILL.items()) + ", concat_ws(',', " + ", ".join(f"case when {hit} then '{k}' end" for k, (hit, _) in _FILL.items()) + ") filled from e")
 E_FIELDS = tuple(_FILL)
+_SPECIAL = "('_Singles', 'Various Artists', 'Unknown Artist', 'Unknown Album', '.', '..')"
+
+
+def _from_folders() -> str:
+    year, names = r"^(\d{4})\s*-\s*(.+)$", (r"^(\d{1,3})\s*-\s*(.+)$", r"^(\d{1,3})\s+(.+)$", r"(?i)track\s+(\d{1,3})\s*-\s*(.+)$", r"-\s*(\d{1,3})\s*-\s*(.+)$")
+    track = "case " + " ".join(f"when regexp_matches(base_, {D.q(p)}) then try_cast({D.ext('base_', p, 1)} as int)" for p in names) + " else 0 end"
+    title = "case " + " ".join(f"when regexp_matches(base_, {D.q(p)}) then {D.trimmed(D.ext('base_', p, 2))}" for p in names) + " else '' end"
+    disc = "coalesce(" + ", ".join(f"try_cast({D.ext('al_', rf'(?i){w}\s*(\d+)', 1)} as int)" for w in ("cd", "disc", "disk")) + ", 0)"
+    x = f"x as (select *, {_ONE} al_, {_TWO} ar_, {D.stem('src_path')} base_ from lib), y as (select *, {D.trimmed(D.ext('al_', year, 2))} named_, {D.ext('al_', year, 1)} year_, {track} track_, {title} title_, {disc} disc_ from x)"
+    z = f"""z as (select *, tag_artist = '' and ar_ <> '' and not regexp_matches(ar_, '^\\d+$') and ar_ not in {_SPECIAL} h1, tag_album = '' and (named_ <> '' or (not regexp_matches(al_, '^\\d+$') and al_ not in {_SPECIAL} and al_ <> '')) h2,
+ tag_album = '' and named_ <> '' and tag_date = '' h3, tag_disc = 0 and disc_ > 0 h4, tag_track = 0 and track_ > 0 h5, tag_title = '' and title_ <> '' h6 from y)"""
+    return f"""{D.LIB}, {x}, {z} select file_id, case when h1 then ar_ else tag_artist end tag_artist, case when h2 then (case when named_ <> '' then named_ else al_ end) else tag_album end tag_album, case when h3 then year_ else tag_date end tag_date,
+ case when h4 then disc_ else tag_disc end tag_disc, case when h5 then track_ else tag_track end tag_track, case when h6 then title_ else tag_title end tag_title,
+ concat_ws(',', case when h1 then 'artist_from_path' end, case when h2 then 'album_from_path' end, case when h3 then 'year_from_path' end, case when h4 then 'disc_from_path' end, case when h5 then 'track_from_filename' end, case when h6 then 'title_from_filename' end) filled from z"""
+
+
+add("f24_enrich_from_path", lambda s, f: E.enriched_from_folders(library(s, f)).select("file_id", "tag_artist", "tag_album", "tag_date", "tag_disc", "tag_track", "tag_title", "filled"), _from_folders())
 _YA = r"^(\d{4})\s*-\s*(.+)$"
 add("f25_year_album", lambda s, f: table(s, f, "metadata", "tag_album").distinct().select(F.coalesce("tag_album", F.lit("")).alias("value")).distinct().select("value", *(x.alias(k) for k, x in E.year_album(c("value")).items())), f"select value, {D.trimmed(D.ext(v, _YA, 2))} album, {D.ext(v, _YA, 1)} as \"year\" from (select distinct coalesce(tag_album, '') as value from metadata)")
 rule("f26_disc_number", "tag_album", E.disc_number, "coalesce(" + ", ".join(f"try_cast({D.ext(v, rf'(?i){w}\s*(\d+)', 1)} as int)" for w in ("cd", "disc", "disk")) + ", 0)")
@@ -235,6 +252,9 @@ add("x6_simulated_execution", lambda s, f: R.executed(L.plans(library(s, f)), la
 add("a6_bytes_verified", lambda s, f: R.executed(L.plans(library(s, f)), latest_files(s, f)).agg(F.coalesce(F.sum(F.when(c("verify_ok"), c("bytes_written"))), F.lit(0)).alias("size"), F.count_if("verify_ok").alias("verified")), f"{D.PLANNED}, {_EXEC} select coalesce(sum(bytes_written) filter (verify_ok), 0)::bigint size, count(*) filter (verify_ok) verified from ex")
 
 
+add("x4_verify_plan", lambda s, f: R.verified(latest_files(s, f), latest_files(s, f).where("sha1 <> ''"), "hash"), f"with {D.FILES1} select file_id, sha1 <> '' verify_ok from files1")
+
+
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics row of the report, each part one aggregation."""
     f = latest_files(spark, folder).agg(F.count("*").alias("files"), F.count_if(c("status").isin("meta_ok", "executed")).alias("valid"), F.count_if(c("status") == "error").alias("errors"))
