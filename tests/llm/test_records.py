@@ -95,6 +95,14 @@ def test_variants(spark, tmp_path):
     assert not any("mbimuvilor" in p or "margaretbimuvilor" in p or "unknownartist" in p or any("feat" in x for x in p) or "thevovimustoksoundsystem" in p for p in got)
 
 
+def test_variants_with_a_repeated_slip(spark, tmp_path):
+    rows = [("Søren Stigemojik", 10), ("Søren Stigemoijk", 6), ("Tove Kahelomir", 5), ("Odin Kahelonir", 5), ("Vera Yulusibrur", 4), ("Viktor Yulusibrur", 4), ("V. Julusibrur", 3), ("Fakabeta Trio", 4), ("Fakebeta Trio", 5), ("Fakabeeta Trio", 5), ("Lumina", 4), ("Lumino", 4)]
+    rows += [(f"{first} {last}", 1) for first in ("Søren", "Tove", "Odin", "Vera", "Viktor") for last in ("Zosteniron", "Hikarotuk", "Makemihil", "Lelozarok")]
+    folder = write(spark, tmp_path, metadata=[{"file_id": i, "tag_artist": a} for i, a in enumerate(a for a, n in rows for _ in range(n))])
+    got = {tuple(r) for r in variants.p1_found(spark, folder).collect()}
+    assert got == {("sørenstigemoijk", "sørenstigemojik"), ("fakabeetatrio", "fakabetatrio"), ("fakabetatrio", "fakebetatrio"), ("fakabeetatrio", "fakebetatrio")}
+
+
 def test_canonical(spark, tmp_path):
     cache = [{"search_name": s, "canonical_name": c} for s, c in (("bromipegas", "The Bromipegas Sound System"), ("kedihako elizabet", "Elizabeth Kedihako"), ("nobody at all", "Mara Bimuvilor"), ("margret bimuvilor", "Margaret Bimuvilor"), *((x, f"{x} {y}") for x in ("Mara", "Margaret", "Elizabeth") for y in ("Zosteniron", "Hikarotuk", "Makemihil", "Lelozarok", "Kipuvifar", "Fogimejak")))]
     got = {r.name_key: r.canonical_name for r in canonical.p7_found(spark, write(spark, tmp_path, metadata=[{"file_id": i, "tag_artist": a} for i, a in enumerate(_artists())], musicbrainz_cache=cache)).collect()}

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -167,21 +167,32 @@ def align(a: tuple[str, ...], b: tuple[str, ...], missing: int = 0) -> int | Non
     return best[0]
 
 
-def corrected(tokens: DataFrame) -> DataFrame:
-    """(token, center) for rows of (token, n): the commoner token that one slip turns it into, else itself.
+def _met(tokens: DataFrame, which: Column) -> DataFrame:
+    """(token, other, n) for rows of (token, n): the pairs of tokens that one slip turns into each other, n that of the other.
 
     Tokens meet where they are equal after at most one deletion each (symmetric deletes), so no pairs
-    of unlike tokens are formed. A token that is nearly as common as its neighbour stays its own.
+    of unlike tokens are formed. ``which`` is a condition on the two rows, a and b.
     """
     t = tokens.where(F.length("token") >= 4)
     cuts = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token"))))
     spread = t.select("token", "n", F.explode(F.array_distinct(F.array_append(cuts, F.col("token")))).alias("cut"))
     a, b = spread.alias("a"), spread.alias("b")
-    commoner = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.token") < F.col("a.token")))
-    distinct = (F.col("a.n") <= 2) | (F.col("b.n") >= 3 * F.col("a.n"))
-    met = a.join(b, (F.col("a.cut") == F.col("b.cut")) & commoner & distinct).select(F.col("a.token").alias("token"), F.col("b.token").alias("other"), F.col("b.n").alias("n"))
+    met = a.join(b, (F.col("a.cut") == F.col("b.cut")) & which).select(F.col("a.token").alias("token"), F.col("b.token").alias("other"), F.col("b.n").alias("n"))
     gap = F.levenshtein("token", "other")
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
-    close = met.where((gap <= 1) | ((gap == 2) & (F.length("token") == F.length("other")) & (letters("token") == letters("other"))))
-    best = close.groupBy("token").agg(F.max_by("other", F.struct("n", "other")).alias("near"))
-    return best
+    return met.where((gap <= 1) | ((gap == 2) & (F.length("token") == F.length("other")) & (letters("token") == letters("other"))))
+
+
+def slips(tokens: DataFrame) -> DataFrame:
+    """(token, other) for rows of (token): all pairs of tokens that one slip turns into each other, token < other."""
+    return _met(tokens.select("token", F.lit(1).alias("n")), F.col("a.token") < F.col("b.token")).select("token", "other").distinct()
+
+
+def corrected(tokens: DataFrame) -> DataFrame:
+    """(token, center) for rows of (token, n): the commoner token that one slip turns it into, else itself.
+
+    A token that is nearly as common as its neighbour stays its own.
+    """
+    commoner = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.token") < F.col("a.token")))
+    distinct = (F.col("a.n") <= 2) | (F.col("b.n") >= 3 * F.col("a.n"))
+    return _met(tokens, commoner & distinct).groupBy("token").agg(F.max_by("other", F.struct("n", "other")).alias("near"))

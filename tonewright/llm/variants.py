@@ -4,7 +4,10 @@ Each name key gets plain tokens. Misspelt tokens find their commoner neighbour t
 symmetric-delete index. The token of a name that has the fewest different companions is its anchor
 (a surname or an invented word); names with the same anchor are compared form by form: the other
 tokens are aligned by optimal assignment permitting initials, short forms and one slip. A form that
-fits two artists which don't fit each other stands for both and is left out.
+fits two artists which don't fit each other stands for both and is left out. Artists of different
+anchors are compared where a token of one is a slip away from a token of the other, however common
+both are; the alignment of the whole names decides. A name of one word has nothing beside its token,
+so there only the frequencies tell a slip from another name.
 
 Defined results: placeholders, credits of a featured artist, and keys that are titles more often
 than artists form no pair; null, empty and punctuation-only names have no key. Only different forms
@@ -19,9 +22,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import IntegerType
 
 from tonewright.functions.unicode import name_key
-from tonewright.llm.names import FULL_NAMES, PLACEHOLDERS, align, corrected, name_parts
+from tonewright.llm.names import FULL_NAMES, PLACEHOLDERS, align, corrected, name_parts, slips
 from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
@@ -61,7 +66,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names of one artist among the forms of each anchor; the rows come sorted by anchor."""
     anchor, forms = None, []
 
-    def artists() -> list[tuple[str, str, int]]:
+    def artists() -> list[tuple[str, str, int, bool]]:
         # forms that write all their words out come first, the commonest ahead
         order = sorted(forms, key=lambda f: (any(len(t) == 1 for t in f[1]), -len(f[1]), -f[2], f[0]))
         heads: list[tuple[str, ...]] = []
@@ -74,7 +79,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not fits and len(tokens) > 1:  # or it leaves out words that several bands share
                 fits = [(3 + c, i) for i, head in enumerate(heads) if len(head) > len(tokens) and (c := align(tokens, head, 2)) is not None]
             if not fits:
-                out.append((anchor, form, len(heads)))
+                out.append((anchor, form, len(heads), True))
                 heads.append(tokens)
                 keys.append([key])
                 continue
@@ -84,14 +89,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if len(fits) > 1 and fits[0][0] >= 2:
                 continue
-            out.append((anchor, form, fits[0][1]))
+            out.append((anchor, form, fits[0][1], False))
             keys[fits[0][1]].append(key)
         return out
 
-    def batch(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32()))], names=["anchor", "form", "artist"])
+    def batch(rows: list[tuple[str, str, int, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.bool_()))], names=["anchor", "form", "artist", "head"])
 
-    ready: list[tuple[str, str, int]] = []
+    ready: list[tuple[str, str, int, bool]] = []
     for b in batches:
         for a, form, others, n, key in zip(*(c.to_pylist() for c in b.columns)):
             if a != anchor and forms:
@@ -108,6 +113,46 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(ready)
 
 
+@arrow_udf(IntegerType())
+def _fit(short: pa.Array, long: pa.Array) -> pa.Array:
+    """Cost of aligning two whole names, null if they can't be the same."""
+    out = []
+    for a, b in zip(short.to_pylist(), long.to_pylist()):
+        one, two = tuple(a.split()), tuple(b.split())
+        cost = align(one, two)
+        if cost is None and len(two) > len(one) > 2:  # leaves out words that several bands share
+            left = align(one, two, 2)
+            cost = None if left is None else 3 + left
+        out.append(cost)
+    return pa.array(out, pa.int32())
+
+
+def _merged(heads: DataFrame) -> DataFrame:
+    """(id, first): the artists of different anchors that are one, with the least id among them. ``heads`` has id, anchor and form."""
+    many = heads.withColumn("tokens", F.split("form", " ")).where(F.size("tokens") > 1)
+    order = F.struct((~F.exists("tokens", lambda t: F.length(t) == 1)).alias("full"), F.size("tokens").alias("words"), "id")
+    words = cut(many.select("id", "anchor", "form", order.alias("order"), F.explode(F.array_distinct("tokens")).alias("token")))
+    near = slips(words.select("token").distinct())
+    sides = [words.select(*(F.col(x).alias(f"{x}_{s}") for x in words.columns)) for s in "ab"]
+    met = near.join(sides[0], F.col("token") == F.col("token_a")).join(sides[1], (F.col("other") == F.col("token_b")) & (F.col("id_a") != F.col("id_b")))
+    met = met.where("anchor_a <> anchor_b and (anchor_a = token_a or anchor_b = token_b)")
+    # the name with initials or fewer words has to fit the other
+    swap = F.col("order_a") > F.col("order_b")
+    pairs = met.select(*(F.when(swap, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(f"{x}_short") for x in ("id", "form")), *(F.when(swap, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(f"{x}_long") for x in ("id", "form"))).distinct()
+    fits = cut(pairs.withColumn("cost", _fit("form_short", "form_long")).where("cost is not null").select("id_short", "id_long", "cost"))
+    # a slip with the same company is one artist; initials, short forms and missing words must not fit two
+    single = fits.groupBy("id_short").agg(F.count("*").alias("fitting"))
+    kept = fits.join(single, "id_short").where("cost = 1 or fitting = 1").select(F.col("id_short").alias("u"), F.col("id_long").alias("v"))
+    edges = cut(kept.union(kept.select("v", "u")).distinct())
+    first = cut(edges.groupBy(F.col("u").alias("id")).agg(F.min(F.array_min(F.array("u", "v"))).alias("first")))
+    while True:  # the least id spreads until nothing changes
+        heard = edges.join(first, F.col("v") == F.col("id")).select(F.col("u").alias("id"), F.col("first"))
+        after = cut(first.union(heard).groupBy("id").agg(F.min("first").alias("first")))
+        if after.join(first, ["id", "first"], "left_anti").isEmpty():
+            return after
+        first = after
+
+
 def artist_names(forms: DataFrame) -> DataFrame:
     """(key, anchor, artist): names with equal anchor and artist are of one artist. ``forms`` has key, form and n."""
     centers = _centers(forms)
@@ -128,8 +173,11 @@ def artist_names(forms: DataFrame) -> DataFrame:
     keyed = names.join(anchors, "key")
     keyed = cut(keyed.withColumn("form", F.array_join("tokens", " ")).select("key", "anchor", "form", "n", F.expr("array_join(filter(tokens, (t, i) -> i <> array_position(tokens, anchor) - 1), ' ')").alias("others")))
     by_form = keyed.groupBy("anchor", "form", "others").agg(F.sum("n").alias("n"), F.max("key").alias("key"))
-    grouped = by_form.select("anchor", "form", "others", "n", "key").repartition("anchor").sortWithinPartitions("anchor", "form").mapInArrow(_groups, "anchor string, form string, artist int")
-    return keyed.join(grouped, ["anchor", "form"]).select("key", "anchor", "artist", "form", "n")
+    grouped = by_form.select("anchor", "form", "others", "n", "key").repartition("anchor").sortWithinPartitions("anchor", "form").mapInArrow(_groups, "anchor string, form string, artist int, head boolean")
+    grouped = cut(grouped)
+    same = _merged(grouped.where("head").select(F.struct("anchor", "artist").alias("id"), "anchor", "form"))
+    linked = keyed.join(grouped, ["anchor", "form"]).join(same, F.struct("anchor", "artist") == F.col("id"), "left")
+    return linked.select("key", F.coalesce("first.anchor", "anchor").alias("anchor"), F.coalesce("first.artist", "artist").alias("artist"), "form", "n")
 
 
 def linked_names(spark: SparkSession, folder: str) -> DataFrame:
