@@ -1,6 +1,7 @@
 """Duplicates, survivors, truncation, names, packing and leaks against brute force."""
 
 import collections
+import math
 import random
 
 import pytest
@@ -110,6 +111,42 @@ def test_canonical(spark, tmp_path):
     assert got["unknownartist"] == got["thevovimustoksoundsystem"] == got["nobodyatall"] == "" and "mbimuvilor" not in got and "marabimuvilor" not in got
 
 
+def test_candidates_against_all_pairs(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice(("sto", "bro", "pe", "mi", "ges", "ta", "vu", "vo", "fe", "ho", "ra", "zi")) for _ in range(rng.randrange(2, 5)))
+    listed = sorted({" ".join((word(), *rng.choice(((), ("ensemble",), ("pilots",), ("grand", "society"))))) for _ in range(150)})
+    typed = set()
+    for name in listed:
+        for _ in range(3):
+            first, *rest = name.split()
+            i = rng.randrange(len(first) - 1)
+            first = rng.choice((first[:i] + first[i + 1 :], first[:i] + first[i + 1] + first[i] + first[i + 2 :], first[:i] + rng.choice("qxy") + first[i + 1 :], first[:i] + rng.choice("qxy") + first[i:], first))
+            typed.add(" ".join((*rng.choice(((), (), ("dr",), ("k",), ("hte",))), first, *rest)))
+    typed = sorted(typed)
+    one, two = spark.createDataFrame(list(enumerate(typed)), "typed_id long, form string"), spark.createDataFrame(list(enumerate(listed)), "entry_id long, entry_form string")
+    got = {(r.typed_id, r.entry_id) for r in canonical.candidates(one, two).collect()}
+
+    grams = lambda form: {t[i : i + canonical.GRAM] for t in (f"^{x}$" for x in form.split()) for i in range(max(len(t) - canonical.GRAM + 1, 1))}
+    df = collections.Counter(g for name in listed for g in grams(name))
+    usual = max(sum(df.values()) / len(df), 1.0)
+
+    def vector(form):
+        w = {g: math.log(1 + len(listed) / df.get(g, usual)) ** canonical.POWER for g in grams(form)}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {g: x / size for g, x in w.items()}
+
+    ahead, back = [vector(x) for x in typed], [vector(x) for x in listed]
+    near, alike = set(), set()
+    for i, a in enumerate(typed):
+        for k, b in enumerate(listed):
+            cost = names.align(tuple(a.split()), tuple(b.split()))
+            if cost is not None and cost <= 1:
+                near.add((i, k))
+            if sum(x * back[k].get(g, 0.0) for g, x in ahead[i].items()) >= canonical.THRESHOLD + 1e-9:
+                alike.add((i, k))
+    assert len(near) > 200 and len(alike) > 200 and near <= got and alike <= got, (len(near - got), len(alike - got))
+
+
 def test_packing(spark):
     rng = random.Random(4)
     rows = [(i, 250 if i % 3 == 0 else rng.randrange(0, 700)) for i in range(3000)]

@@ -1,10 +1,12 @@
 """Problem 7: mapping names as typed to the entries of a reference list.
 
 Typed values are reduced to distinct name keys with plain tokens. Candidates come from an inverted
-index of character n-grams of the padded tokens: of each typed name only the rarest n-grams are
-looked up, as many as it takes that no entry at or above the threshold of the weighted cosine can
-be missed. All candidates at the threshold are then aligned token by token; the entry with the
-cheapest alignment is accepted if no other entry fits as well.
+index of character n-grams of the padded tokens: only the rarest n-grams of both sides are looked
+up, and a pair stays if its cosine with the most that the others can add reaches the threshold, so
+no entry at or above the threshold of the weighted cosine can be missed. A slip in the rare token of
+a name leaves few n-grams, so names that one slip or one droppable word turns into each other also
+meet in an index of their symmetric deletes, whatever their cosine. All candidates are then aligned
+token by token; the entry with the cheapest alignment is accepted if no other entry fits as well.
 
 Defined results: null, empty and punctuation-only values have no key; keys that are an entry's own
 key are left out; a key that fits two entries equally (an initial shared by two first names) is left
@@ -19,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
-from tonewright.llm.names import PLACEHOLDERS, align, name_parts
+from tonewright.llm.names import PLACEHOLDERS, TITLES, align, name_parts
 from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
 GRAM = 4
 THRESHOLD = 0.25
 POWER = 3.0  # of the inverse document frequency in the list
+ROUNDING = 1e-5  # of sums of single precision
 
 
 @arrow_udf(IntegerType())
@@ -69,15 +72,30 @@ def _grams(names: DataFrame, key: str, form: str) -> DataFrame:
 
 
 def _rarest(grams: DataFrame, key: str) -> DataFrame:
-    """(gram, key, w): the weights scaled to length one, without the commonest n-grams, as far as those make up
-    less than the threshold's square of the length."""
-    rising = Window.partitionBy(key).orderBy("w", "gram")
-    squares = grams.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rising)).withColumn("all", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return squares.where(F.col("rest") >= THRESHOLD * THRESHOLD * F.col("all")).select("gram", key, (F.col("w") / F.sqrt("all")).alias("w"))
+    """(gram, key, w, beyond, lost): the weights scaled to length one, without the commonest n-grams, as far as those make
+    up less than the threshold's square of the length; beyond is the length of all commoner ones, lost of those left out."""
+    rising, whole = Window.partitionBy(key).orderBy("w", "gram"), Window.partitionBy(key)
+    squares = grams.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rising)).withColumn("all", F.sum(F.col("w") * F.col("w")).over(whole))
+    kept = F.col("rest") >= THRESHOLD * THRESHOLD * F.col("all")
+    lost = squares.withColumn("kept", kept).withColumn("lost", F.coalesce(F.max(F.when(~kept, F.col("rest"))).over(whole), F.lit(0.0)))
+    beyond = F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0))
+    return lost.where("kept").select("gram", key, (F.col("w") / F.sqrt("all")).cast("float").alias("w"), F.sqrt(beyond / F.col("all")).cast("float").alias("beyond"), F.sqrt(F.col("lost") / F.col("all")).cast("float").alias("lost"))
+
+
+def _slip_keys(names: DataFrame, key: str, form: str) -> DataFrame:
+    """(slip, key): hashes that two names share if one slip in a token, or one word that may be left over, is all between them."""
+    tokens = names.select(key, F.array_sort(F.split(form, " ")).alias("tokens")).select(key, "tokens", F.posexplode("tokens").alias("i", "t"))
+    others = tokens.select(key, "i", "t", F.expr("array_join(filter(tokens, (x, j) -> j <> i), ' ')").alias("others"), F.array_join("tokens", " ").alias("whole"))
+    cuts = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, F.length("t"))))
+    slips = F.transform(F.array_append(F.when(F.length("t") >= 3, cuts).otherwise(F.array().cast("array<string>")), F.col("t")), lambda x: F.concat(F.col("others"), F.lit("|"), x))
+    spare = (F.length("t") == 1) | F.col("t").isin(*TITLES) | (F.levenshtein("t", F.lit("the")) <= 1) | F.col("t").isin("hte", "teh")
+    left = F.concat(F.when(F.col("i") == 0, F.array("whole")).otherwise(F.array().cast("array<string>")), F.when(spare, F.array("others")).otherwise(F.array().cast("array<string>")))
+    return others.select(F.explode(F.concat(slips, left)).alias("slip"), key).select(F.xxhash64("slip").alias("slip"), key)
 
 
 def candidates(typed: DataFrame, listed: DataFrame) -> DataFrame:
-    """(typed_id, entry_id, cosine) of the pairs at or above the threshold; typed and listed come with their ids."""
+    """(typed_id, entry_id, cosine) of the pairs at or above the threshold and of those one slip apart; typed and listed
+    come with their ids, the cosine is that of the n-grams looked up."""
     index = cut(_grams(listed, "entry_id", "entry_form"))
     weights = cut(index.groupBy("gram").agg(F.count("*").alias("df")))
     size = weights.agg(F.sum("df").alias("postings"), F.count("*").alias("grams")).first()
@@ -85,11 +103,15 @@ def candidates(typed: DataFrame, listed: DataFrame) -> DataFrame:
     weigh = lambda df: F.pow(F.log(1 + F.lit(total) / df), F.lit(POWER))
     # an n-gram that the list doesn't have counts as one of average frequency
     usual = F.lit(max((size.postings or 0) / max(size.grams, 1), 1.0))
-    entry_side = _rarest(index.join(weights, "gram").withColumn("w", weigh(F.col("df"))), "entry_id").withColumnRenamed("w", "we")
+    entry_side = _rarest(index.join(weights, "gram").withColumn("w", weigh(F.col("df"))), "entry_id").withColumnsRenamed({"w": "we", "beyond": "beyond_e", "lost": "lost_e"})
     looked = _grams(typed, "typed_id", "form").join(weights, "gram", "left").withColumn("w", weigh(F.coalesce("df", usual)))
     typed_side = _rarest(looked, "typed_id")
-    pairs = typed_side.join(entry_side, "gram").groupBy("typed_id", "entry_id").agg(F.sum(F.col("w") * F.col("we")).alias("cosine"))
-    return pairs.where(F.col("cosine") >= THRESHOLD - THRESHOLD * THRESHOLD)
+    # n-grams that a pair shares but doesn't look up are commoner than all it looks up, and left out on one side at least
+    more = F.greatest(F.col("lost") * F.col("beyond_e"), F.col("beyond") * F.col("lost_e"))
+    met = typed_side.join(entry_side, "gram").select("typed_id", "entry_id", (F.col("w") * F.col("we")).cast("float").alias("dot"), more.cast("float").alias("more"), F.lit(False).alias("slip"))
+    slips = _slip_keys(typed, "typed_id", "form").join(_slip_keys(listed, "entry_id", "entry_form"), "slip").select("typed_id", "entry_id", F.lit(0.0).cast("float").alias("dot"), F.lit(1.0).cast("float").alias("more"), F.lit(True).alias("slip"))
+    pairs = met.union(slips).groupBy("typed_id", "entry_id").agg(F.sum("dot").alias("cosine"), F.min("more").alias("more"), F.max("slip").alias("slip"))
+    return pairs.where(F.col("slip") | (F.col("cosine") + F.col("more") >= THRESHOLD - ROUNDING)).select("typed_id", "entry_id", "cosine")
 
 
 def mapped(spark: SparkSession, folder: str) -> DataFrame:
