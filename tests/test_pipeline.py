@@ -69,6 +69,16 @@ def test_query_and_reports(spark, small):
     assert 2 not in {r.file_id for r in R.executed(L.plans(lib), lib, done).collect()}
 
 
+def test_order_of_the_whole_library(spark, tmp_path):
+    files = [{"file_id": i, "src_path": f"/a/{i * 37 % 250:03}.mp3", "status": "meta_ok"} for i in range(250)]
+    metadata = [{"file_id": i, "tag_artist": f"a{i % 7}", "tag_album": f"b{i % 5}", "tag_title": f"t{i % 3}", "tag_track": i % 4, "duration_ms": i % 11, "bitrate_kbps": i % 13} for i in range(250)]
+    folder = write(spark, tmp_path, files=files, metadata=metadata)
+    keys = {"artist": lambda i: (i % 7, i % 5, i % 4, i), "album": lambda i: (i % 5, i % 4, i), "title": lambda i: (i % 3, i), "duration": lambda i: (-(i % 11), i), "bitrate": lambda i: (-(i % 13), i), "path": lambda i: (i * 37 % 250, i)}
+    for name, key in keys.items():
+        got = {r.place: r.file_id for r in catalog.queries()[f"o1_order_{name}"](spark, folder).collect()}
+        assert [got[p] for p in range(1, 251)] == sorted(range(250), key=key) and len(got) == 250
+
+
 def test_verification_and_doctor(spark):
     a = spark.createDataFrame([(1, 5, "x"), (2, 6, "y")], "file_id long, size_bytes long, sha1 string")
     b = spark.createDataFrame([(1, 5, "z")], "file_id long, size_bytes long, sha1 string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonewright.sources.checkpoints import cut
+
 SORTS = {"path": ("src_path",), "artist": ("tag_artist", "tag_album", "tag_track"), "album": ("tag_album", "tag_track"), "title": ("tag_title",), "duration": ("-duration_ms",), "bitrate": ("-bitrate_kbps",)}
 
 
@@ -25,6 +27,16 @@ def query(lib: DataFrame, *, artist: str = "", album: str = "", title: str = "",
     return out.limit(limit) if limit > 0 else out
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """The rows of a sorted table with their place from 1; one row per partition is brought together, never the table."""
+    rows = cut(ordered.withColumn("_row", F.monotonically_increasing_id()))  # the partition above 33 bits of position
+    sizes = rows.groupBy(F.shiftrightunsigned("_row", 33).alias("_part")).count()
+    before = F.sum("count").over(Window.orderBy("_part")) - F.col("count")
+    starts = F.broadcast(sizes.select("_part", before.alias("_before")))
+    place = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumn("_part", F.shiftrightunsigned("_row", 33)).join(starts, "_part").withColumn("place", place).drop("_row", "_part", "_before")
+
+
 def prefixes(paths: DataFrame, column: str = "dest_path", depth: int = 0) -> DataFrame:
     """(prefix, level, is_file, files) of the tree that the paths form, cut at a depth if one is given."""
     parts = F.filter(F.split(column, "/"), lambda p: (p != "") & (p != "."))

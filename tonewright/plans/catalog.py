@@ -204,6 +204,8 @@ for _name, _args, _where in (
     add(f"query_{_name}", lambda s, f, a=_args: R.query(library(s, f), **a).select(*_SHOWN), f"{D.LIB} select {', '.join(_SHOWN)} from lib where {_where}")
 for _name, _order in (("artist", "tag_artist, tag_album, tag_track"), ("album", "tag_album, tag_track"), ("title", "tag_title"), ("duration", "duration_ms desc"), ("bitrate", "bitrate_kbps desc"), ("path", "src_path")):
     add(f"o1_sort_{_name}", lambda s, f, n=_name: R.query(library(s, f), sort=n, limit=100).select(*_SHOWN), f"{D.LIB} select {', '.join(_SHOWN)} from lib order by {_order}, file_id limit 100")
+    # the whole library; the row's place shows the order
+    add(f"o1_order_{_name}", lambda s, f, n=_name: R.placed(R.query(library(s, f), sort=n).select(*_SHOWN)).select("place", *_SHOWN), f"{D.LIB} select row_number() over (order by {_order}, file_id) place, {', '.join(_SHOWN)} from lib")
 
 # joins, set operations, counts
 add("j1_files_metadata", lambda s, f: L.meta_ok(s, f).select("file_id", "file_key", "codec", "tag_title"), f"{D.LIB} select file_id, file_key, codec, tag_title from lib where status = 'meta_ok'")
