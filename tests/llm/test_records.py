@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tests.tables import write
@@ -213,9 +214,64 @@ def test_leaks(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_retrieval_recall(spark):
-    """The latent search alone against the exact alignment of every pair."""
-    items, docs, want = _passages()
-    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), verify=False)
+@pytest.fixture(scope="module")
+def planted():
+    """Items inside documents with other words, planted without regard to any threshold: kind -> pairs."""
+    rng = random.Random(11)
+    # word frequencies as in texts, so that common words fall together by chance
+    pool = [f"w{i}" for i in range(1500)]
+    weights = [1 / (i + 3) for i in range(1500)]
+    words = lambda n: rng.choices(pool, weights, k=n)
+    items = [words(rng.randrange(45, 100)) for _ in range(40)]
+    docs, kinds = [], collections.defaultdict(set)
+    for d in range(900):
+        k, kind = d % 40, d % 9
+        item = items[k]
+        half = -(-len(item) // 2)
+        start = rng.randrange(len(item) - half + 1)
+        part = item[start : start + half]
+        changed = lambda ws: [x for w in ws for x in rng.choices(([w], words(1), [w, *words(1)], []), (0.92, 0.05, 0.015, 0.015))[0]]
+        if kind == 0:
+            part = [w if j % 10 != 9 else words(1)[0] for j, w in enumerate(part)]
+        elif kind == 1:
+            part = [w if j % 10 != 9 else words(1)[0] for j, w in enumerate(item)]
+        elif kind == 2:
+            part = changed(item)
+        elif kind == 3:
+            part = [*item[: half // 2 + 3], *words(rng.randrange(8, 150)), *item[half // 2 + 3 : half + 6]]
+        elif kind == 4:
+            part = item[start : start + half // 2]
+        elif kind > 5:
+            part = []
+        docs.append((d, " ".join(words(rng.randrange(200)) + part + words(rng.randrange(200)))))
+        if kind < 6:
+            kinds[kind].add((d, k))
+    return [" ".join(x) for x in items], docs, kinds
+
+
+@pytest.mark.parametrize("verify", [False, True])
+def test_recall_of_changed_halves(spark, planted, verify):
+    items, docs, kinds = planted
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), verify=verify)
     got = {tuple(r) for r in found.collect()}
-    assert len(want & got) >= 0.9 * len(want)
+    for kind, want in kinds.items():
+        if kind != 4:
+            assert len(want & got) >= 0.9 * len(want), (kind, len(want & got), len(want))
+    if verify:
+        assert not got & kinds[4] and got <= set().union(*kinds.values())
+
+
+def test_leaks_in_blocks(spark):
+    items, docs, want = _passages()
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block_items=7)
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_alignment_of_many_texts_is_that_of_each():
+    rng = random.Random(2)
+    item = np.array([rng.randrange(12) for _ in range(30)])
+    texts = [np.array([rng.randrange(-1, 12) for _ in range(rng.randrange(0, 60))] + (item[:20].tolist() if i % 3 == 0 else []), np.int64) for i in range(60)]
+    weight = np.ones(30)
+    assert leakage.carried(texts, item, weight) == [leakage.carried([t], item, weight)[0] for t in texts]
+    same = np.zeros(20_000, np.int64)  # one word over and over takes no longer than others
+    assert leakage.carried([same], np.zeros(40, np.int64), np.ones(40)) == [True]

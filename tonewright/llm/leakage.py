@@ -4,22 +4,28 @@ Latent semantic retrieval: passages of all documents (overlapping windows of wor
 weighted by TF-IDF with document frequencies over the whole corpus, and projected on the right
 singular vectors of the passage matrix, found by a randomised SVD whose products with the matrix are
 computed where the passages are. The SVD is fitted on the items and on a bounded sample of at most
-FIT_DOCUMENTS documents; every passage of every document is projected and compared with every item.
-Where the cosine of a window reaches the threshold, the whole document is aligned with the whole item
-by a chained longest common subsequence that allows few changed words, in one stretch or in two with
-a foreign sentence between.
-
-The items are a stated set of fixed size, so they, their vocabulary and the basis are sent to the
-tasks; nothing of the documents is collected but counts of that vocabulary and the products of the
-SVD. Defined results: null and empty texts carry nothing; rows with a null id are left out; without
-items there are no rows.
+FIT_DOCUMENTS documents; every passage of every document is projected and compared with the items,
+which are a stated query set: they are taken in blocks of bounded size, and the windows of a task meet
+one block at a time, so what is sent to the tasks doesn't grow with the number of items.
+
+A document and an item whose cosine reaches the threshold at some window are candidates. A candidate is
+kept by two checks that follow from one definition, a stretch of which at most a share CHANGED of the
+words was changed: first it must hold pairs of neighbouring words as densely as such a stretch does,
+then the longest common subsequence with few changes, scored over the whole document, must cover half
+of the item in one stretch or in two that follow each other in the item. The last check is on the
+answer: the words of the stretch that don't belong to a common turn of phrase (the pairs they form are
+rare in the corpus) must mostly be those of the document, so a sentence with other names is no case.
+
+Defined results: null and empty texts carry nothing; rows with a null id are left out; an id with
+several texts is carried where one of them is; without items there are no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +36,18 @@ from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
 STRIDE = 24  # words; a window is two strides
-RANK = 128
+RANK = 256
 EXTRA = 16
 FIT_DOCUMENTS = 4000
-THRESHOLD = 0.18
-LEAST_SHARE = 0.485  # of an item's words
-LEAST_KEPT = 0.86  # of the words of a stretch
-GRAM, LEAST_GRAMS = 4, 0.36  # runs of words as they are, in proportion to an item's words
+THRESHOLD = 0.2
+LEAST_SHARE = 0.485  # of an item's words: half of its text may be a little less than half of its words
+CHANGED = 0.14  # of the words of a stretch: about one in ten, and one more in a short one
+LEAST_STRETCH = 6  # words
+LEAST_ANSWER, ANSWER_POWER = 0.75, 4.0  # of the weight of the words of the stretches, or of half the item where they have more
+FOREIGN = 5  # words between two stretches, at least
 POWER = 1.5  # of the inverse document frequency, so that names count for more than phrases
 CHUNK = 40_000  # words projected at once
+BLOCK_ITEMS, BLOCK_BYTES = 1024, 4 << 20
 
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 
@@ -50,61 +59,182 @@ def words_of(text: str | None) -> list[str]:
 
 # --- alignment -------------------------------------------------------------------------------------
 
-
-def _chains(doc: list[str], places: dict[str, list[int]]) -> list[tuple[float, int, int, int, int, int]]:
-    """Local alignments ending at each match: (score, first and last word of the item, of the document, matches)."""
-    recent: list[tuple[int, int, tuple]] = []
-    out = []
-    for j, word in enumerate(doc):
-        at = places.get(word)
-        if at is None:
-            continue
-        while recent and j - recent[0][0] > 5:
-            recent.pop(0)
-        new = []
-        for i in at:
-            best = None
-            for pj, pi, chain in recent:
-                step = i - pi
-                if 0 < step <= 5 and pj < j:
-                    score = chain[0] + 1.0 - 2.5 * (max(step, j - pj) - 1)
-                    if score > 1.0 and (best is None or score > best[0]):
-                        best = (score, chain[1], i, chain[3], j, chain[5] + 1)
-            best = best or (1.0, i, i, j, j, 1)
-            new.append((j, i, best))
-            if best[0] >= 5.0:
-                out.append(best)
-        recent += new
+_ONE = 1 << 32  # a score of one; the bits below hold where in the item the alignment began
+_HIT, _MISS = 2, 5
+_ALLOWED = _HIT - CHANGED * (_HIT + _MISS)  # least score per word of a stretch
+
+
+def stretches(words: np.ndarray, ends: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first and last word of the item, place of the last word, score) of all alignments with few changes.
+
+    ``words`` are those of one or more documents, each followed by a place in ``ends`` that holds no word.
+    One row of the table of alignments at a time is computed for all places, so the time is the product
+    of both lengths whatever the words are.
+    """
+    n, m = len(item), len(words)
+    step = np.full(m, _MISS, np.int64)
+    step[ends] = _HIT * n + _MISS  # more than any score, so no alignment goes on in the next document
+    slope = np.cumsum(step) * _ONE
+    order = np.argsort(words, kind="stable")
+    sorted_words = words[order]
+    low, high = np.searchsorted(sorted_words, item), np.searchsorted(sorted_words, item, "right")
+    before, moved, now = np.zeros(m, np.int64), np.zeros(m, np.int64), np.empty(m, np.int64)
+    found = []
+    for i in range(n):
+        moved[1:] = before[:-1]
+        np.maximum(before, moved, out=now)
+        now -= _MISS * _ONE
+        at = order[low[i] : high[i]]
+        now[at] = np.maximum(moved[at], n - i) + _HIT * _ONE
+        now[ends] = 0
+        now += slope
+        np.maximum.accumulate(now, out=now)
+        now -= slope
+        now[now < _ONE] = 0
+        now[ends] = 0
+        value = now[at]
+        first = n - (value & (_ONE - 1))
+        length = i - first + 1
+        good = (length >= LEAST_STRETCH) & ((value >> 32) >= _ALLOWED * length)
+        if good.any():
+            found.append((first[good], np.full(int(good.sum()), i), at[good], value[good] >> 32))
+        before, now = now, before
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def longest_pair(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> tuple[int, int, int]:
+    """Most words of the item in two stretches that follow each other in it, with foreign words between; and the two, by index."""
+    length = last - first + 1
+    order = np.lexsort((at, last))
+    ends, places = last[order], at[order]
+    wide = int(at.max()) + 2
+    big = len(order) + 1
+    # the longest stretch so far that ends at the same word; the index tells which
+    top = np.maximum.accumulate((ends * (int(length.max()) + 1) + length[order]) * big + np.arange(len(order)))
+    keys = ends * wide + places
+    best = (0, -1, -1)
+    for gap in range(4):
+        goal, limit = first - gap, at - length + 1 - FOREIGN - gap
+        k = np.searchsorted(keys, goal * wide + np.maximum(limit, -1), "right") - 1
+        fits = (k >= 0) & (limit >= 0) & (goal >= 0)
+        fits[fits] &= ends[k[fits]] == goal[fits]
+        if fits.any():
+            second = np.flatnonzero(fits)
+            one = order[top[k[second]] % big]
+            total = length[second] + length[one]
+            j = int(total.argmax())
+            if total[j] > best[0]:
+                best = int(total[j]), int(one[j]), int(second[j])
+    return best
+
+
+def carried(texts: list[np.ndarray], item: np.ndarray, weight: np.ndarray) -> list[bool]:
+    """Whether each text carries at least half of the item; words as numbers, -1 for any that the item's block doesn't have."""
+    out = [False] * len(texts)
+    need = LEAST_SHARE * len(item)
+    words = np.concatenate([np.append(t, -1) for t in texts])
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    first, last, at, score = stretches(words, ends, item)
+    owner = np.searchsorted(ends, at)
+    length = last - first + 1
+
+    def answered(*which: int) -> bool:
+        kept = total = 0.0
+        for k in which:
+            asked, weights = item[first[k] : last[k] + 1], weight[first[k] : last[k] + 1]
+            said = words[max(at[k] - int(length[k] * (1 + CHANGED)) - 1, 0) : at[k] + 1]
+            kept += float(weights[np.isin(asked, said)].sum())
+            total += float(weights.sum())
+        return kept >= LEAST_ANSWER * min(total, float(weight.sum()) / 2)
+
+    order = np.argsort(owner, kind="stable")
+    bounds = np.flatnonzero(np.append(True, owner[order][1:] != owner[order][:-1])) if len(order) else []
+    for a, b in zip(bounds, [*bounds[1:], len(order)]):
+        rows = order[a:b]
+        longest = rows[length[rows].argmax()]
+        if length[longest] >= need:
+            # that with the fewest changes among those long enough, which may leave out changed words at an end
+            enough = rows[length[rows] >= need]
+            out[owner[longest]] = answered(enough[score[enough].argmax()])
+        elif 2 * length[longest] >= need:
+            total, one, two = longest_pair(first[rows], last[rows], at[rows])
+            if total >= need:
+                out[owner[longest]] = answered(rows[one], rows[two])
     return out
 
 
-def _runs(words: list[str]) -> set[tuple[str, ...]]:
-    return set(zip(*(words[i:] for i in range(GRAM))))
-
-
-def carries(doc: list[str], item: list[str], places: dict[str, list[int]]) -> bool:
-    """Whether the document has at least half of the item in its order, with few words changed."""
-    need = LEAST_SHARE * len(item)
-    good = [(c, c[2] - c[1] + 1) for c in _chains(doc, places) if c[5] >= LEAST_KEPT * max(c[2] - c[1] + 1, c[4] - c[3] + 1)]
-    if any(n >= need for _, n in good):
-        return True
-    # two stretches that follow each other in the item, with a foreign sentence between them
-    starts: dict[tuple[int, int], tuple] = {}
-    for c, n in good:  # the longest chain of each start
-        if n >= 6 and ((k := (c[1], c[3])) not in starts or n > starts[k][1]):
-            starts[k] = (c, n)
-    tops = list(starts.values())
-    return any(n + m >= need and -1 <= b[1] - a[2] - 1 <= 2 and 5 <= b[3] - a[4] - (b[1] - a[2]) and b[3] - a[4] <= 90 for a, n in tops for b, m in tops)
+class Neighbours:
+    """Pairs of neighbouring words of the items, to tell which candidates hold them as densely as a stretch must."""
+
+    def __init__(self, items: list[np.ndarray], other: int):
+        self.size, self.other = other + 1, other
+        self.n = np.array([len(x) for x in items], np.int64)
+        # of two stretches the longer has half of what is needed; its words with changes keep so many pairs
+        self.window = np.ceil(LEAST_SHARE * self.n / 2).astype(np.int64)
+        self.least = np.ceil((1 - 2 * CHANGED) * self.window - 1).astype(np.int64)
+        self.shift = np.ceil(np.log2(np.maximum(4.0, CHANGED * self.window))).astype(np.int64)
+        code = np.concatenate([x[:-1].astype(np.int64) * self.size + x[1:] for x in items])
+        who = np.concatenate([np.full(max(len(x) - 1, 0), k, np.int64) for k, x in enumerate(items)])
+        place = np.concatenate([np.arange(max(len(x) - 1, 0)) for x in items])
+        order = np.argsort(code, kind="stable")
+        self.who, self.place = who[order], place[order]
+        self.codes, self.start, self.count = np.unique(code[order], return_index=True, return_counts=True)
+
+    def known(self, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, pair) of the neighbouring words of texts that the items have; owner: the text of each word."""
+        if len(words) < 2 or not len(self.codes):
+            return (np.zeros(0, np.int64),) * 2
+        t = np.flatnonzero((owner[1:] == owner[:-1]) & (words[:-1] < self.other) & (words[1:] < self.other))
+        code = words[t] * self.size + words[t + 1]
+        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[k] == code
+        return t[hit], k[hit]
+
+    def answers(self, rarity: np.ndarray) -> list[np.ndarray]:
+        """The weight of every word of each item as an answer, for the rarity of each pair in the corpus: that of the commoner
+        of the two pairs it is in, so that words of a common turn of phrase weigh little however rare they are."""
+        weights = [np.full((2, n), np.inf) for n in self.n]
+        for k, (start, times) in enumerate(zip(self.start, self.count)):
+            for who, place in zip(self.who[start : start + times], self.place[start : start + times]):
+                weights[who][0, place] = weights[who][1, place + 1] = rarity[k]
+        return [np.where(np.isinf(w.min(0)), 1.0, w.min(0)) ** ANSWER_POWER for w in weights]
+
+    def dense(self, texts: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of the pairs wanted (a matrix) that may carry an item; nothing that carries one is left out."""
+        lengths = np.array([len(x) for x in texts])
+        owner, words = np.repeat(np.arange(len(texts)), lengths), np.concatenate(texts).astype(np.int64)
+        short = self.least <= 0  # items of a few words need no pair
+        text, item = np.nonzero(wanted & short[None, :])
+        none = text, item
+        t, k = self.known(owner, words)
+        if not len(k):
+            return none
+        times = self.count[k]
+        base = np.repeat(self.start[k] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
+        t = np.repeat(t, times)
+        ok = wanted[owner[t], self.who[base]]
+        t, base = t[ok], base[ok]
+        if not len(t):
+            return none
+        who, place = self.who[base], self.place[base]
+        begin = np.append(0, np.cumsum(lengths)[:-1])
+        # pairs of words at like distances lie in one of two overlapping bands
+        band = ((t - begin[owner[t]] - place + self.n[who]) >> self.shift[who]) + 1
+        bands, places = int(band.max()) + 1, 2 * (int(self.n.max()) + 1)
+        pair = (owner[t] * len(self.n) + who) * bands + band
+        keys = np.unique(np.concatenate([pair * places + place, (pair - 1) * places + place]))
+        both = keys // places // bands
+        which = both % len(self.n)
+        held = np.searchsorted(keys, keys + self.window[which] - 1) - np.arange(len(keys))
+        both = np.unique(both[held >= self.least[which]])
+        return np.append(text, both // len(self.n)), np.append(item, both % len(self.n))
 
 
 # --- latent space ----------------------------------------------------------------------------------
 
 
-def _window_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums over windows of two strides of one document after another; bounds: where strides start."""
-    return np.add.reduceat(values, bounds, axis=0)
-
-
 def _strides(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the strides of concatenated documents, the document of each, and whether the next is of the same."""
     starts, owner = [], []
@@ -121,35 +251,47 @@ def _strides(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(starts), own, np.append(own[1:] == own[:-1], False)
 
 
-def _passages(ids: list[np.ndarray], weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(sums of the weights' rows over windows, document of each window), a chunk of documents at a time."""
+def _chunks(ids: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about CHUNK words; a longer document is one range."""
     first, size = 0, 0
-    for k in range(len(ids) + 1):
-        if k == len(ids) or size + len(ids[k]) > CHUNK and size:
-            starts, own, more = _strides([len(x) for x in ids[first:k]])
-            if len(starts):
-                strides = _window_sums(weights[np.concatenate(ids[first:k])], starts)
-                both = strides.copy()
-                both[:-1][more[:-1]] += strides[1:][more[:-1]]
-                yield both, own + first
+    for k, x in enumerate(ids):
+        if size and size + len(x) > CHUNK:
+            yield first, k
             first, size = k, 0
-        if k < len(ids):
-            size += len(ids[k])
+        size += len(x)
+    if size:
+        yield first, len(ids)
+
+
+def _windows(ids: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the weights' rows over the windows of documents, the document of each, strides' starts and whether the next goes on."""
+    starts, own, more = _strides([len(x) for x in ids])
+    sums = np.add.reduceat(weights[np.concatenate(ids)], starts, axis=0)
+    both = sums.copy()
+    both[:-1][more[:-1]] += sums[1:][more[:-1]]
+    return both, own, starts, more
 
 
 def _product(ids: list[np.ndarray], idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A^T (A right) for the passage matrix A of the documents."""
     out = np.zeros_like(right)
     scaled = (idf[:, None] * right).astype(np.float32)
-    for x in ids:
-        for s in range(0, len(x), STRIDE):
-            w = x[s : s + 2 * STRIDE]
-            np.add.at(out, w, (idf[w])[:, None] * scaled[w].sum(0)[None, :])
+    for a, b in _chunks(ids):
+        both, _, starts, more = _windows(ids[a:b], scaled)
+        # a word is in the window that begins at its stride and in the one before
+        near = both.copy()
+        near[1:][more[:-1]] += both[:-1][more[:-1]]
+        words = np.concatenate(ids[a:b])
+        stride = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
+        order = np.argsort(words, kind="stable")
+        begin = np.flatnonzero(np.append(True, words[order][1:] != words[order][:-1]))
+        kinds = words[order][begin]
+        out[kinds] += idf[kinds][:, None] * np.add.reduceat(near[stride[order]], begin, axis=0)
     return out
 
 
-def fit_basis(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors of the TF-IDF passage matrix, words by rank. ``sample`` has the column ids (int32 bytes)."""
+def fit_basis(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, kind: np.dtype, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors of the TF-IDF passage matrix, words by rank. ``sample`` has the column ids (bytes of that kind)."""
     n = len(idf) - 1  # the last row stands for all words that no item has
     size = min(rank + EXTRA, n)
     if size >= n:
@@ -161,7 +303,7 @@ def fit_basis(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
-                part = _product([np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()], known, right)
+                part = _product([np.frombuffer(x, kind).astype(np.int32) for x in b.column(0).to_pylist()], known, right)
                 total = part if total is None else total + part
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
@@ -183,87 +325,107 @@ def fit_basis(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank:
 # --- the search ------------------------------------------------------------------------------------
 
 
-def leaks(documents: DataFrame, evaluation: DataFrame, threshold: float = THRESHOLD, verify: bool = True) -> DataFrame:
-    """(doc_id, item_id) of the documents that carry an item; without ``verify`` the candidates of the search."""
-    spark = documents.sparkSession
-    rows = [(r.item_id, words_of(r.text)) for r in evaluation.where("item_id is not null").select("item_id", "text").distinct().collect()]
-    rows = [r for r in rows if r[1]]
-    schema = "doc_id bigint, item_id bigint"
-    if not rows:
-        return spark.createDataFrame([], schema)
+def _block_leaks(docs: DataFrame, total: int, rows: list[tuple[int, list[str]]], threshold: float, verify: bool) -> DataFrame:
+    """The leaks of one block of items, each with its words."""
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
     other = len(vocabulary)
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    total = documents.count()
     share = min(1.0, FIT_DOCUMENTS / max(total, 1))
 
+    items = [np.array([vocabulary[w] for w in ws], np.int32) for _, ws in rows]
+    neighbours = Neighbours(items, other)
+    small = np.dtype(np.uint16 if other < 65535 else np.int32)
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        known = vocabulary.keys()
+        words, pairs = np.zeros(other + 1, np.int64), np.zeros(len(neighbours.codes), np.int64)
+        get = vocabulary.get
         for b in batches:
-            ids, sampled = b.column(0).to_pylist(), []
-            for key, text in zip(ids, b.column(1).to_pylist()):
-                ws = words_of(text)
-                df.update(known & set(ws))
-                if (key * 2654435761 & 0xFFFFFFFF) < share * 4294967296:
-                    sampled.append(np.array([vocabulary.get(w, other) for w in ws], np.int32).tobytes())
-            if sampled:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(sampled), pa.int32()), pa.nulls(len(sampled), pa.int64()), pa.array(sampled, pa.binary())], names=["word", "n", "ids"])
-        if df:
-            yield pa.RecordBatch.from_arrays([pa.array([vocabulary[w] for w in df], pa.int32()), pa.array(list(df.values()), pa.int64()), pa.nulls(len(df), pa.binary())], names=["word", "n", "ids"])
-
-    counted = cut(docs.mapInArrow(counts, "word int, n bigint, ids binary"))
-    idf = np.zeros(other + 1, np.float32)
-    idf[:other] = np.log(1.0 + total)
-    for r in counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most the items' vocabulary
-        idf[r.word] = np.log((1.0 + total) / (1.0 + r.n))
-    idf[other] = float(idf[:other].mean())
-    idf = idf**POWER
-    item_ids = [np.array([vocabulary[w] for w in ws], np.int32) for _, ws in rows]
-    basis = fit_basis(counted.where("ids is not null").select("ids").coalesce(8), item_ids, idf)
+            ids = [np.array([get(w, other) for w in words_of(text)], np.int32) for text in b.column(1).to_pylist()]
+            for first, end in _chunks(ids):
+                owner = np.repeat(np.arange(end - first), [len(x) for x in ids[first:end]])
+                flat = np.concatenate(ids[first:end]).astype(np.int64)
+                words += np.bincount(np.unique(owner * (other + 1) + flat) % (other + 1), minlength=other + 1)
+                t, k = neighbours.known(owner, flat)
+                if len(k):
+                    pairs += np.bincount(np.unique(owner[t] * len(pairs) + k) % len(pairs), minlength=len(pairs))
+            keys = b.column(0).to_pylist()
+            sampled = [(key * 2654435761 & 0xFFFFFFFF) < share * 4294967296 for key in keys]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x.astype(small).tobytes() for x in ids], pa.binary()), pa.array(sampled), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())], names=["doc_id", "ids", "sampled", "what", "n"])
+        # counts of words, then those of pairs
+        n = np.concatenate([words, pairs])
+        what = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(what), pa.int64()), pa.nulls(len(what), pa.binary()), pa.nulls(len(what), pa.bool_()), pa.array(what, pa.int64()), pa.array(n[what], pa.int64())], names=["doc_id", "ids", "sampled", "what", "n"])
+
+    counted = cut(docs.mapInArrow(counts, "doc_id bigint, ids binary, sampled boolean, what bigint, n bigint"))
+    plain, common = np.full(other + 1, np.log(1.0 + total), np.float32), np.zeros(len(neighbours.codes))
+    for r in counted.where("what is not null").groupBy("what").agg(F.sum("n").alias("n")).collect():  # at most the block's words and pairs
+        if r.what <= other:
+            plain[r.what] = np.log((1.0 + total) / (1.0 + r.n))
+        else:
+            common[r.what - other - 1] = r.n
+    plain = np.maximum(plain, 1e-3)
+    plain[other] = float(plain[:other].mean()) if other else 1.0
+    answers = neighbours.answers(np.log((2.0 + total) / (1.0 + common)))
+    idf = plain**POWER
+    basis = fit_basis(counted.where("sampled").select("ids").coalesce(8), items, idf, small)
     projection = (idf[:, None] * basis).astype(np.float32)
     squares = (idf * idf).astype(np.float32)
-    queries = np.stack([projection[x].sum(0) for x in item_ids])
-    queries /= np.sqrt(np.array([squares[x].sum() for x in item_ids]))[:, None]
+    queries = np.stack([projection[x].sum(0) for x in items])
+    queries /= np.sqrt(np.array([squares[x].sum() for x in items]))[:, None]
     queries = np.ascontiguousarray(queries.T)
     weights = np.hstack([projection, squares[:, None]])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = []
-        for _, ws in rows:
-            at: dict[str, list[int]] = defaultdict(list)
-            for i, w in enumerate(ws):
-                at[w].append(i)
-            places.append(dict(at))
-        get = vocabulary.get
-        runs: dict[tuple, list[int]] = defaultdict(list)
-        for i, (_, ws) in enumerate(rows):
-            for run in _runs(ws):
-                runs[run].append(i)
-        least = [LEAST_GRAMS * len(ws) for _, ws in rows]
-
-        def holds(text: list[str], items: list[int]) -> list[int]:
-            """The items of which the document has enough runs of words, aligned."""
-            shared: Counter = Counter()
-            for run in _runs(text):
-                if run in runs:
-                    shared.update(runs[run])
-            return [i for i in items if shared[i] >= least[i] and carries(text, rows[i][1], places[i])]
-
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [words_of(x) for x in b.column(1).to_pylist()]
-            ids = [np.array([get(w, other) for w in ws], np.int32) for ws in texts]
-            found: dict[int, set[int]] = defaultdict(set)
-            for sums, own in _passages(ids, weights):
-                cosine = sums[:, :-1] @ queries
-                w, i = np.nonzero(cosine >= threshold * np.sqrt(np.maximum(sums[:, -1:], 1e-6)))
-                for d, item in zip(own[w].tolist(), i.tolist()):
-                    found[d].add(item)
-            out = [(keys[d], rows[i][0]) for d, items in found.items() for i in (holds(texts[d], sorted(items)) if verify else items)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["doc_id", "item_id"])
-
-    return docs.mapInArrow(search, schema).distinct()
+            keys = b.column(0).to_pylist()
+            ids = [np.frombuffer(x, small).astype(np.int32) for x in b.column(1).to_pylist()]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for first, end in _chunks(ids):
+                sums, own, _, _ = _windows(ids[first:end], weights)
+                near = sums[:, :-1] @ queries >= threshold * np.sqrt(np.maximum(sums[:, -1:], 1e-6))
+                w, i = np.nonzero(near)
+                wanted = np.zeros((end - first, len(rows)), bool)
+                wanted[own[w], i] = True
+                d, i = neighbours.dense(ids[first:end], wanted) if verify else np.nonzero(wanted)
+                found.append((d + first, i))
+            if not found:
+                continue
+            d, i = (np.concatenate(x) for x in zip(*found))
+            if verify:
+                kept = np.zeros(len(d), bool)
+                order = np.argsort(i, kind="stable")
+                for a, e in zip(begin := np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1])) if len(order) else [], [*begin[1:], len(order)]):
+                    which = order[a:e]
+                    texts = [np.where(ids[k] == other, -1, ids[k]) for k in d[which]]
+                    for s, t in _chunks(texts):
+                        kept[which[s:t]] = carried(texts[s:t], items[i[which[0]]], answers[i[which[0]]])
+                d, i = d[kept], i[kept]
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in d], pa.int64()), pa.array([rows[k][0] for k in i], pa.int64())], names=["doc_id", "item_id"])
+
+    return counted.where("ids is not null").select("doc_id", "ids").mapInArrow(search, "doc_id bigint, item_id bigint")
+
+
+def leaks(documents: DataFrame, evaluation: DataFrame, threshold: float = THRESHOLD, verify: bool = True, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id) of the documents that carry an item; without ``verify`` the candidates of the search."""
+    spark = documents.sparkSession
+    items = evaluation.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, math.ceil(size.n / block_items), math.ceil(size.bytes / BLOCK_BYTES))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    if blocks > 1:
+        items = cut(items)
+    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    total = docs.count()
+    parts = []
+    for block in range(blocks):
+        rows = [(r.item_id, words_of(r.text)) for r in items.where(F.col("block") == block).orderBy("item_id", "text").collect()]
+        rows = [r for r in rows if r[1]]
+        if rows:
+            found = _block_leaks(docs, total, rows, threshold, verify)
+            parts.append(found if blocks == 1 else cut(found))
+    if not parts:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
