@@ -46,7 +46,7 @@ LEAST_STRETCH = 6  # words
 LEAST_ANSWER, ANSWER_POWER = 0.75, 4.0  # of the weight of the words of the stretches, or of half the item where they have more
 FOREIGN = 5  # words between two stretches, at least
 POWER = 1.5  # of the inverse document frequency, so that names count for more than phrases
-CHUNK = 40_000  # words projected at once
+CHUNK, PART = 40_000, 64  # words taken at once; strides
 BLOCK_ITEMS, BLOCK_BYTES = 1024, 4 << 20
 
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
@@ -59,7 +59,6 @@ def words_of(text: str | None) -> list[str]:
 
 # --- alignment -------------------------------------------------------------------------------------
 
-_ONE = 1 << 32  # a score of one; the bits below hold where in the item the alignment began
 _HIT, _MISS = 2, 5
 _ALLOWED = _HIT - CHANGED * (_HIT + _MISS)  # least score per word of a stretch
 
@@ -69,35 +68,46 @@ def stretches(words: np.ndarray, ends: np.ndarray, item: np.ndarray) -> tuple[np
 
     ``words`` are those of one or more documents, each followed by a place in ``ends`` that holds no word.
     One row of the table of alignments at a time is computed for all places, so the time is the product
-    of both lengths whatever the words are.
+    of both lengths whatever the words are. A cell holds the score and, in its low bits, where in the item
+    the alignment began; it is kept with the cost of having come so far added, so that words left out in
+    the document cost nothing more in the running maximum.
     """
     n, m = len(item), len(words)
+    bits = int(n).bit_length()
     step = np.full(m, _MISS, np.int64)
     step[ends] = _HIT * n + _MISS  # more than any score, so no alignment goes on in the next document
-    slope = np.cumsum(step) * _ONE
+    slope = np.cumsum(step) << bits
+    if slope[-1] + ((_HIT * n + _MISS) << bits) < 1 << 31:
+        slope = slope.astype(np.int32)
+    miss, hit, one = (slope.dtype.type(x << bits) for x in (_MISS, _HIT, 1))
     order = np.argsort(words, kind="stable")
     sorted_words = words[order]
     low, high = np.searchsorted(sorted_words, item), np.searchsorted(sorted_words, item, "right")
-    before, moved, now = np.zeros(m, np.int64), np.zeros(m, np.int64), np.empty(m, np.int64)
+    known: dict[int, tuple[np.ndarray, ...]] = {}
+    before, now = slope.copy(), np.empty_like(slope)
     found = []
     for i in range(n):
-        moved[1:] = before[:-1]
-        np.maximum(before, moved, out=now)
-        now -= _MISS * _ONE
-        at = order[low[i] : high[i]]
-        now[at] = np.maximum(moved[at], n - i) + _HIT * _ONE
-        now[ends] = 0
-        now += slope
+        np.subtract(before, miss, out=now)
+        np.maximum(now[1:], before[:-1], out=now[1:])
+        some = high[i] > low[i]
+        if some:
+            if (places := known.get(low[i])) is None:
+                at = order[low[i] : high[i]]
+                known[low[i]] = places = at, at - 1, slope[at], (at == 0) | (step[at - 1] != _MISS)
+            at, ahead, here, opens = places
+            gone = before[ahead] + miss
+            gone[opens] = 0  # nothing goes on from another document
+            now[at] = np.where(gone < here + one, here + slope.dtype.type(n - i), gone) + hit
         np.maximum.accumulate(now, out=now)
-        now -= slope
-        now[now < _ONE] = 0
-        now[ends] = 0
-        value = now[at]
-        first = n - (value & (_ONE - 1))
-        length = i - first + 1
-        good = (length >= LEAST_STRETCH) & ((value >> 32) >= _ALLOWED * length)
-        if good.any():
-            found.append((first[good], np.full(int(good.sum()), i), at[good], value[good] >> 32))
+        np.maximum(now, slope, out=now)
+        if some:
+            value = now[at] - here
+            score = value >> bits
+            length = (value & (one - 1)) - (n - 1 - i)
+            good = (length >= LEAST_STRETCH) & (score >= _ALLOWED * length)
+            if good.any():
+                length = length[good].astype(np.int64)
+                found.append((i + 1 - length, np.full(len(length), i), at[good], score[good]))
         before, now = now, before
     if not found:
         return (np.zeros(0, np.int64),) * 4
@@ -165,6 +175,12 @@ def carried(texts: list[np.ndarray], item: np.ndarray, weight: np.ndarray) -> li
     return out
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 class Neighbours:
     """Pairs of neighbouring words of the items, to tell which candidates hold them as densely as a stretch must."""
 
@@ -219,16 +235,22 @@ class Neighbours:
         if not len(t):
             return none
         who, place = self.who[base], self.place[base]
+        # most candidates hold too few pairs wherever they stand
+        each = owner[t] * len(self.n) + who
+        enough = np.bincount(each, minlength=wanted.size)[each] >= self.least[who]
+        t, who, place = t[enough], who[enough], place[enough]
+        if not len(t):
+            return none
         begin = np.append(0, np.cumsum(lengths)[:-1])
         # pairs of words at like distances lie in one of two overlapping bands
         band = ((t - begin[owner[t]] - place + self.n[who]) >> self.shift[who]) + 1
         bands, places = int(band.max()) + 1, 2 * (int(self.n.max()) + 1)
         pair = (owner[t] * len(self.n) + who) * bands + band
-        keys = np.unique(np.concatenate([pair * places + place, (pair - 1) * places + place]))
+        keys = _distinct(np.concatenate([pair * places + place, (pair - 1) * places + place]))
         both = keys // places // bands
         which = both % len(self.n)
         held = np.searchsorted(keys, keys + self.window[which] - 1) - np.arange(len(keys))
-        both = np.unique(both[held >= self.least[which]])
+        both = _distinct(both[held >= self.least[which]])
         return np.append(text, both // len(self.n)), np.append(item, both % len(self.n))
 
 
@@ -266,7 +288,11 @@ def _chunks(ids: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 def _windows(ids: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sums of the weights' rows over the windows of documents, the document of each, strides' starts and whether the next goes on."""
     starts, own, more = _strides([len(x) for x in ids])
-    sums = np.add.reduceat(weights[np.concatenate(ids)], starts, axis=0)
+    words, ends = np.concatenate(ids), np.append(starts[1:], sum(map(len, ids)))
+    sums = np.empty((len(starts), weights.shape[1]), weights.dtype)
+    for a in range(0, len(starts), PART):  # so few that their weights stay in the cache
+        b = min(a + PART, len(starts))
+        sums[a:b] = np.add.reduceat(weights[words[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0)
     both = sums.copy()
     both[:-1][more[:-1]] += sums[1:][more[:-1]]
     return both, own, starts, more
@@ -343,10 +369,10 @@ def _block_leaks(docs: DataFrame, total: int, rows: list[tuple[int, list[str]]],
             for first, end in _chunks(ids):
                 owner = np.repeat(np.arange(end - first), [len(x) for x in ids[first:end]])
                 flat = np.concatenate(ids[first:end]).astype(np.int64)
-                words += np.bincount(np.unique(owner * (other + 1) + flat) % (other + 1), minlength=other + 1)
+                words += np.bincount(_distinct(owner * (other + 1) + flat) % (other + 1), minlength=other + 1)
                 t, k = neighbours.known(owner, flat)
                 if len(k):
-                    pairs += np.bincount(np.unique(owner[t] * len(pairs) + k) % len(pairs), minlength=len(pairs))
+                    pairs += np.bincount(_distinct(owner[t] * len(pairs) + k) % len(pairs), minlength=len(pairs))
             keys = b.column(0).to_pylist()
             sampled = [(key * 2654435761 & 0xFFFFFFFF) < share * 4294967296 for key in keys]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x.astype(small).tobytes() for x in ids], pa.binary()), pa.array(sampled), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())], names=["doc_id", "ids", "sampled", "what", "n"])
