@@ -88,6 +88,16 @@ def test_sentences_without_blanks_lines_and_lists(spark):
     assert got[5] == ["เพลงหนึ่ง", "เพลงสอง"] and got[6] == got[7] == []
 
 
+@pytest.mark.parametrize("n", [3, 40, 400])
+def test_long_quotations_brackets_and_addresses(spark, n):
+    words = "We kept it. " * n
+    texts = [f"“{words}” Ann Lee said.", f"«{words}» preguntó Inés.", f'"{words}" Ann said.', f"It is (see there. {words}) all.", f"「{'静か。' * n}」と言った。", "See https://a.b/" + "x.y?z!" * n + "k now. Then."]
+    got = _cut(spark, texts)
+    assert [len(got[i]) for i in range(6)] == [1, 1, 1, 1, 1, 2]
+    # one that never closes is no quotation, and one ends at a blank line
+    assert len(_cut(spark, [f"“{words}"])[0]) == n and len(_cut(spark, [f"“{words}\n\n{words}”"])[0]) >= n
+
+
 def test_spans_cover_everything_but_blanks(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice(["a", "B", ". ", "! ", "\n", "\n\n", "。", "“", "”", "Dr. ", "1. ", " ", "😀", "é"]) for _ in range(60)) for _ in range(60)]

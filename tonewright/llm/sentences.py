@@ -6,6 +6,8 @@ A second private-use character is then put after each mark that is left, with sc
 rules for what may follow, and the text is split there. As the pieces hold every other character,
 their running lengths are positions in the original text, from which the sentences are cut.
 
+Quotations, brackets and addresses may be of any length; a quotation ends at a blank line at the latest.
+
 Defined results: a null or blank text has no sentences; private-use characters of the text that
 the masks use count as one ordinary character each; texts without any capital may start a sentence
 with a small letter; other columns of the input are ignored.
@@ -31,7 +33,7 @@ ABBREVIATIONS = {
 }
 MONTHS = "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"
 AFTER_ORDINAL = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Auflage Versuch Jahrhundert Mal Platz Kapitel Satz Tag Stück Aufnahme Ausgabe Band Album"
-REPORTING = "said asked replied answered cried whispered shouted added insisted joked wrote recalled explained admitted muttered told"
+REPORTING = "said says say asked asks replied replies answered answers cried cries whispered whispers shouted shouts called calls added adds insisted insists joked jokes wrote writes recalled recalls explained explains admitted admits muttered mutters told tells remarked remarks noted notes claimed claims declared declares exclaimed exclaims sighed sighs laughed laughs continued continues"
 
 _ABBR = "|".join(sorted({a.replace(".", r"[.]") for x in ABBREVIATIONS.values() for a in x.split()}, key=len, reverse=True))
 _W = r"[\s\u00a0\u2009\u202f\u3000]"
@@ -56,20 +58,27 @@ _POINTS = r"\.(?:" + "|".join(
         r"(?<=\p{L}\s{1,2}Oh\.)",
     )
 ) + ")"
-_ADDRESS = r"[.?!](?=[^\s])(?<=(?:https?://|www[.])\S{0,200})"
-# marks inside brackets and quotations, but for the last one before a closing quote
-_BRACKETS = r"([（『《](?=[^（）『』《》\n]{0,200}[）』》])|\G(?!\A))([^（）『』《》。！？!?.…]*+)[。！？!?.…]"
-_ROUND = r"((?:(?<=[^\s.!?…)]\s?)\((?=[^()]{0,300}\))|\G(?!\A))[^().!?…]*+)[.!?…]"
-_CURLY = rf"((?:[“„](?=[^“”„]{{0,600}}[”“])|\G(?!\A))[^“”„{_T}。！？]*+)[{_T}。！？](?![{_T}。！？]*[”“])"
-_ANGLE = rf"((?:«(?=[^«»]{{0,600}}»)|\G(?!\A))[^«»{_T}]*+)[{_T}](?![{_T}]*{_W}?»)"
-_CORNER = r"((?:「(?=[^「」]{0,600}」)|\G(?!\A))[^「」。！？!?.…]*+)[。！？!?.…](?![。！？]*」\s*(?:\z|\n[ \t]*\n))"
-_STRAIGHT = rf"((?:(?<![\p{{L}}\p{{N}}.!?,…;:])\"(?=[^\s\"][^\"]{{0,600}}\")|\G(?!\A))[^\"{_T}]*+)[{_T}](?![{_T}]*\")"
+_ADDRESS = r"((?:https?://|www(?=[.])|\G(?!\A))[^\s.?!]*+)[.?!](?=\S)"
+
+
+def _within(chars: str) -> str:
+    """Any characters but those given, up to a blank line, however many they are."""
+    return rf"(?:[^{chars}\n]++|\n(?![ \t\r]*\n))*+"
+
+
+# marks inside brackets and quotations of any length, but for the last one before a closing quote
+_BRACKETS = r"([（『《](?=[^（）『』《》\n]*+[）』》])|\G(?!\A))([^（）『』《》。！？!?.…]*+)[。！？!?.…]"
+_ROUND = rf"((?:(?<=[^\s.!?…)]\s?)\((?={_within('()')}\))|\G(?!\A)){_within('().!?…')})[.!?…]"
+_CURLY = rf"((?:[“„](?={_within('“”„')}[”“])|\G(?!\A)){_within(f'“”„{_T}。！？')})[{_T}。！？](?![{_T}。！？]*[”“])"
+_ANGLE = rf"((?:«(?={_within('«»')}»)|\G(?!\A)){_within(f'«»{_T}')})[{_T}](?![{_T}]*{_W}?»)"
+_CORNER = rf"((?:「(?={_within('「」')}」)|\G(?!\A)){_within('「」。！？!?.…')})[。！？!?.…](?![。！？]*」\s*(?:\z|\n[ \t]*\n))"
+_STRAIGHT = rf"((?:(?<![\p{{L}}\p{{N}}.!?,…;:])\"(?=[^\s\"]{_within(chr(34))}\")|\G(?!\A)){_within(chr(34) + _T)})[{_T}](?![{_T}]*\")"
 # quoted speech with its reporting words after it
 _REPORTED = "|".join(
     (
-        rf"[{_T}](?=[{_T}]*[”\"]{_W}+(?:(?:\p{{Lu}}[\p{{L}}'’.-]*|&|of|the|and|de|\d+){_W}+){{1,9}}(?:{'|'.join(REPORTING.split())})\b)",
-        r"[。！？!?](?=”[^“”。！？\n]{1,80}(?:问道|说道|答道|喊道|问|说|道)[。！？])",
-        rf"[।!?.](?=”{_W}*[^“”।!?]{{1,160}}(?:कहा|पूछा|बोला|बोली|बोले|बताया){_W}*।)",
+        rf"[{_T}](?=[{_T}]*[”\"]{_W}+(?:(?:\p{{Lu}}[\p{{L}}'’.-]*|&|of|the|and|de|\d+){_W}+)++(?:{'|'.join(REPORTING.split())})\b)",
+        r"[。！？!?](?=”[^“”。！？\n]+?(?:问道|说道|答道|喊道|问|说|道)[。！？])",
+        rf"[।!?.](?=”{_W}*[^“”।!?]+?(?:कहा|पूछा|बोला|बोली|बोले|बताया){_W}*।)",
     )
 )
 _CLOSE = "[”“’\"»)\\]）】』」》›]"
@@ -115,7 +124,7 @@ def masked(df: DataFrame, text: str = "text", to: str = "masked") -> DataFrame:
     out = df.withColumn(to, F.translate(F.col(text), MASK + CUT + BREAK, "\ue00f" * 3))
     listed = _replace(_replace(_replace(m, _LIST_BREAK, f"$1{BREAK}"), _LIST_NUMBER, f"$1{MASK}"), _LIST_INNER, f"$1{MASK}")
     out = out.withColumn(to, F.when(F.contains(m, F.lit("\n")) & m.rlike(rf"(?:\A|\n[ \t]*\n){_MARK}"), listed).otherwise(m))
-    out = out.withColumn(to, F.when(F.contains(m, F.lit("://")) | F.contains(m, F.lit("www.")), _replace(m, _ADDRESS, MASK)).otherwise(m))
+    out = out.withColumn(to, F.when(F.contains(m, F.lit("://")) | F.contains(m, F.lit("www.")), _replace(m, _ADDRESS, f"$1{MASK}")).otherwise(m))
     out = out.withColumn(to, _replace(m, _POINTS, MASK))
     for marks, pattern, keep in (("（『《", _BRACKETS, "$1$2"), ("「", _CORNER, "$1"), ("(", _ROUND, "$1"), ("“„", _CURLY, "$1"), ("«", _ANGLE, "$1"), ('"', _STRAIGHT, "$1"), ('”"', _REPORTED, "")):
         out = out.withColumn(to, F.when(_holds(m, marks), _replace(m, pattern, f"{keep}{MASK}")).otherwise(m))
