@@ -33,7 +33,7 @@ ABBREVIATIONS = {
 }
 MONTHS = "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"
 AFTER_ORDINAL = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Auflage Versuch Jahrhundert Mal Platz Kapitel Satz Tag Stück Aufnahme Ausgabe Band Album"
-REPORTING = "said says say asked asks replied replies answered answers cried cries whispered whispers shouted shouts called calls added adds insisted insists joked jokes wrote writes recalled recalls explained explains admitted admits muttered mutters told tells remarked remarks noted notes claimed claims declared declares exclaimed exclaims sighed sighs laughed laughs continued continues"
+REPORTING = "said says asked asks replied replies answered cried whispered shouted called added insisted joked wrote recalled explained admitted muttered told remarked noted claimed declared exclaimed sighed laughed continued"
 
 _ABBR = "|".join(sorted({a.replace(".", r"[.]") for x in ABBREVIATIONS.values() for a in x.split()}, key=len, reverse=True))
 _W = r"[\s\u00a0\u2009\u202f\u3000]"
