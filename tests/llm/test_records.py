@@ -1,10 +1,13 @@
 """Duplicates, survivors, truncation, names, packing and leaks against brute force."""
 
 import collections
+import itertools
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.tables import write
@@ -74,6 +77,60 @@ def test_alignment(a, b, fits):
     assert (names.align(one, two) is not None) == (names.align(two, one) is not None) == fits
 
 
+def test_alignment_of_many_tokens():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    for n in (3, 8, 14, 40):
+        one = tuple(words[:n])
+        two = [w[:3] + "x" + w[4:] for w in one]
+        rng.shuffle(two)
+        assert names.align(one, tuple(two)) == n and names.align(one, (*two[1:], "zzzzzz")) is None
+    assert names.align(tuple(w[0] for w in words[:9]), tuple(words[:9])) == 27
+    # against all assignments
+    tokens = "mara margaret m dr the hte bromi bromy katherine kate kt x".split()
+    for _ in range(400):
+        a, b = ([rng.choice(tokens) for _ in range(4)] for _ in range(2))
+        costs = [[names.token_cost(x, y) for y in b] for x in a]
+        best = min((sum(c) for p in itertools.permutations(range(4)) if None not in (c := [costs[i][p[i]] for i in range(4)])), default=None)
+        assert names._assigned(costs) == best
+
+
+def test_index_misses_no_fit():
+    rng = random.Random(4)
+    tokens = "of grand royal mara margaret m j sound system dr hte bromipegas zoe katherine kate kt sgrs singers s e betty elizabeth orchestra orch mike michael rob robert sis sisters".split()
+    heads = [tuple(rng.choice(tokens) for _ in range(rng.randrange(4))) for _ in range(150)]
+    index = names.Index()
+    for h in heads:
+        index.add(h)
+    for _ in range(500):
+        name = list(rng.choice(heads)) or ["x"]
+        i = rng.randrange(len(name))
+        t, j = name[i], rng.randrange(len(name[i]))
+        name[i] = rng.choice((t, t[:j] + t[j + 1 :] or t, t[:j] + "q" + t[j:], t[:j] + "q" + t[j + 1 :], t[:j] + t[j : j + 2][::-1] + t[j + 2 :], t[: j + 1]))
+        near = index.near(tuple(name))
+        for k, h in enumerate(heads):
+            fits = names.align(tuple(name), h) is not None or len(h) > len(name) > 1 and names.align(tuple(name), h, 2) is not None
+            assert not fits or k in near, (name, h)
+
+
+def test_time_of_an_anchor_with_many_names():
+    def seconds(n):
+        rng = random.Random(5)
+        rows = sorted({"".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)})
+        batch = pa.RecordBatch.from_arrays([pa.array(["smith"] * len(rows)), pa.array([f"{x} smith" for x in rows]), pa.array(rows), pa.array([1] * len(rows)), pa.array([f"{x}smith" for x in rows])], names=["anchor", "form", "others", "n", "key"])
+        began = time.process_time()
+        assert sum(b.num_rows for b in variants._groups(iter([batch]))) <= len(rows)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 16 * seconds(1000) + 0.5
+
+
+@pytest.mark.parametrize(("name", "credit"), [("Man With A Mission", False), ("Us vs Them", False), ("Ft. Worth Five", False), ("A feat. B", True), ("A (ft B)", True), ("A_Featuring_B", True)])
+def test_credits(name, credit):
+    assert names.is_credit(name) == credit
+
+
 def test_near():
     rng = random.Random(1)
     for _ in range(3000):

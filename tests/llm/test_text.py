@@ -10,7 +10,7 @@ TEXTS = ["Björn Dirukoros", "Où dort la fée", "Señales de otoño", "Größe
 
 
 @pytest.mark.parametrize("text", TEXTS)
-@pytest.mark.parametrize("layers", [1, 2])
+@pytest.mark.parametrize("layers", [1, 2, 6])
 def test_round_trip_of_utf8(text, layers):
     bad = text
     for _ in range(layers):

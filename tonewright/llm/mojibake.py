@@ -28,7 +28,6 @@ from tonewright.llm.confusables import plain_letters
 from tonewright.sources.tables import table
 
 MARGIN = 1.9
-LAYERS = 4
 FIELDS = ("tag_artist", "tag_album", "tag_title", "raw_tags_json")
 
 # Letters of Russian per 1000 letters (fixed values).
@@ -146,7 +145,7 @@ def repair(text: str) -> tuple[bool, str | None]:
     # letters that merely look Latin, special blanks and ligatures are another problem and no sign of a false decoding
     cost, now, found = garbling_cost(plain_letters(text).translate(_ORDINARY)), text, False
     lost = bool(_LOST.search(text)) or "�" in text
-    for _ in range(LAYERS):
+    while True:  # each layer lowers the cost by a margin, so there is an end
         if cost < 1.2 and not found:
             break
         step = _step(now, cost)

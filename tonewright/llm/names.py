@@ -31,10 +31,15 @@ SHORT_FORMS = {
 }
 _SHORT = {(short, name) for name, shorts in SHORT_FORMS.items() for short in shorts.split()}
 
+_NICKNAMES: dict[str, set[str]] = {}
+for _short, _name in _SHORT:
+    _NICKNAMES.setdefault(_short, set()).add(_name)
+    _NICKNAMES.setdefault(_name, set()).add(_short)
+
 # the full name of each short form and of each start of three or more letters; a form of several names goes to the first
 FULL_NAMES = {short: name for name, shorts in reversed(SHORT_FORMS.items()) for short in (*(name[:k] for k in range(3, len(name))), *shorts.split())}
 
-_CREDIT = regex.compile(r"\b(?:feat|ft|featuring|vs|versus|with)\b", regex.I)
+_CREDIT = regex.compile(r"[^\s(\[]\W*[\s(\[]\W*(?:feat|ft|featuring)\b\W*\w", regex.I)
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu}\p{Ll})")
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+|&")
 TITLES = {"dr", "dj", "mc", "deejay", "emcee", "doctor"}
@@ -124,11 +129,86 @@ def token_cost(a: str, b: str) -> int | None:
     return 2 if abbreviates(a, b) or abbreviates(b, a) else None
 
 
+def spare(token: str) -> bool:
+    """Whether a name may have the token or not: a middle initial, a title, or an article with a slip."""
+    return len(token) == 1 or token in TITLES or len(token) in (2, 3, 4) and near(token, "the") and token[0] in "th"
+
+
+def consonants(a: str) -> bool:
+    """Whether a may shorten a name to its consonants."""
+    return 2 <= len(a) <= 5 and not any(c in "aeiouy" for c in a[1:])
+
+
+class Index:
+    """Which of the names added so far may fit a name, by what their tokens share; it misses none that ``align`` fits.
+
+    Tokens meet as equals, by a deletion that a slip leaves them in common, as start of one another, as consonants,
+    or as nickname. Each token is kept under a number of hashes in proportion to its length.
+    """
+
+    def __init__(self):
+        self.names: dict[tuple, list[int]] = {}
+        self.loose: list[int] = []  # names that need no partner for any of their tokens
+        self.size = 0
+
+    @staticmethod
+    def _slips(t: str) -> set[tuple]:
+        """What tokens one slip apart share: a deletion, or half of a long token, whose deletions would be its length squared."""
+        if len(t) <= 48:
+            out = {("-", hash(t)), *(("-", hash(t[:i] + t[i + 1 :])) for i in range(len(t)))} if len(t) > 2 else set()
+            if len(t) < 47:
+                return out
+        else:
+            out = set()
+        return out | {(side, h, hash(t[:h] if side == "<" else t[len(t) - h :])) for h in {(len(t) - 2) // 2, (len(t) - 1) // 2} for side in "<>"}
+
+    def add(self, tokens: tuple[str, ...]) -> None:
+        k = self.size
+        self.size += 1
+        for t in set(tokens):
+            signs = {("=", t), *(("^", i, hash(t[:i])) for i in range(1, len(t))), *self._slips(t)}
+            if consonants(t):
+                signs.add(("c", t[0]))
+            for sign in signs:
+                self.names.setdefault(sign, []).append(k)
+        if sum(not spare(t) for t in tokens) == 0 and len(tokens) <= 1:
+            self.loose.append(k)
+
+    def _partners(self, t: str) -> set[int]:
+        signs = {("=", t), ("^", len(t), hash(t)), *(("=", t[:i]) for i in range(1, len(t))), *self._slips(t)}
+        if len(t) > 2 and t[-1] == "s":
+            signs.add(("^", len(t) - 1, hash(t[:-1])))
+        if consonants(t):
+            signs |= {("^", 1, hash(t[0]))}
+        signs |= {("c", t[0])}
+        for other in _NICKNAMES.get(t, ()):
+            signs.add(("=", other))
+        # a head that shortens to its start and an s
+        signs |= {("=", t[:i] + "s") for i in range(2, len(t))} if t[-1] == "s" else set()
+        return set().union(*(self.names.get(sign, ()) for sign in signs))
+
+    def near(self, tokens: tuple[str, ...]) -> set[int]:
+        """The names, by their number, one of which may be the same as this."""
+        out = set(self.loose)
+        if not tokens:
+            return out
+        found = sorted((self._partners(t) for t in set(tokens)), key=len)
+        out |= found[0]
+        # the token with the fewest partners may be one that needs none
+        if any(_skipped(t) for t in tokens):
+            out |= found[1] if len(found) > 1 else set()
+        return out
+
+
+def _skipped(token: str) -> bool:
+    return len(token) == 1 or token in TITLES or near(token, "the")
+
+
 def align(a: tuple[str, ...], b: tuple[str, ...], missing: int = 0) -> int | None:
     """Cost of the best assignment of the tokens of two names in any order, None if they can't be the same name.
 
-    Every token needs a partner, but for one middle initial, title or misspelt article that is left over, and up
-    to ``missing`` words of b that a leaves out.
+    Every token needs a partner, but for one middle initial, title or misspelt article on either side, and up
+    to ``missing`` words of b that a leaves out. Names of any number of tokens are assigned exactly.
     """
     left, right = list(a), list(b)
     for t in a:
@@ -137,34 +217,67 @@ def align(a: tuple[str, ...], b: tuple[str, ...], missing: int = 0) -> int | Non
             left.remove(t)
     if not left and not right:
         return 0
-
-    def spare(free: tuple[str, ...]) -> bool:
-        # a middle initial, a title, or an article with a slip
-        return len(free) <= missing or len(free) == 1 and (len(free[0]) == 1 or free[0] in TITLES or len(free[0]) in (2, 3, 4) and near(free[0], "the") and free[0][0] in "th")
-
-    best: list[int | None] = [None]
-
-    def go(i: int, free: tuple[str, ...], cost: int) -> None:
-        if best[0] is not None and cost >= best[0]:
-            return
-        if i == len(left):
-            if spare(free):
-                best[0] = cost + len(free)
-            return
-        for k, t in enumerate(free):
-            c = token_cost(left[i], t)
-            if c is not None:
-                go(i + 1, free[:k] + free[k + 1 :], cost + c)
-        if len(left[i]) == 1 and not skipped[0] or left[i] in TITLES or near(left[i], "the"):
-            skipped[0] = True
-            go(i + 1, free, cost + 1)
-            skipped[0] = False
-
-    skipped = [False]
-    if len(left) > 7 or len(right) > 7 or abs(len(left) - len(right)) > max(1, missing):
+    if len(left) > len(right) + 1 or len(right) > len(left) + max(1, missing):
+        return None
+    best: int | None = None
+    for i in (None, *(i for i, t in enumerate(left) if _skipped(t))):
+        rows = left if i is None else left[:i] + left[i + 1 :]
+        extra = len(right) - len(rows)
+        if extra < 0 or extra > max(1, missing):
+            continue
+        costs = [[token_cost(x, y) for y in right] for x in rows]
+        # places for the words of b that are left over
+        may = [extra <= missing or spare(y) for y in right]
+        costs += [[1 if m else None for m in may]] * extra
+        c = _assigned(costs)
+        if c is not None:
+            c += i is not None
+            best = c if best is None else min(best, c)
+    return best
+
+
+def _assigned(costs: list[list[int | None]]) -> int | None:
+    """Least cost of giving each row a column of its own, None where that can't be; by shortest augmenting paths."""
+    n = len(costs)
+    if any(all(c is None for c in row) for row in costs):
         return None
-    go(0, tuple(right), 0)
-    return best[0]
+    if n == 0:
+        return 0
+    never = 1 + sum(max((c for c in row if c is not None), default=0) for row in costs)
+    row_price, column_price = [0] * n, [0] * n
+    owner: list[int] = [-1] * n
+    for start in range(n):
+        reach: list[float] = [float("inf")] * n
+        via, done = [-1] * n, [False] * n
+        row, column, gone = start, -1, 0.0
+        while True:
+            nearest, at = float("inf"), -1
+            for j in range(n):
+                if done[j]:
+                    continue
+                c = costs[row][j]
+                d = gone + (never if c is None else c) - row_price[row] - column_price[j]
+                if d < reach[j]:
+                    reach[j], via[j] = d, column
+                if reach[j] < nearest:
+                    nearest, at = reach[j], j
+            gone, column = nearest, at
+            done[column] = True
+            if owner[column] < 0:
+                break
+            row = owner[column]
+        row_price[start] += gone
+        for j in range(n):
+            if done[j] and owner[j] >= 0:
+                row_price[owner[j]] += gone - reach[j]
+            if done[j]:
+                column_price[j] -= gone - reach[j]
+        while column >= 0:
+            before = via[column]
+            owner[column] = owner[before] if before >= 0 else start
+            column = before
+    chosen = [costs[owner[j]][j] for j in range(n)]
+    return None if any(c is None for c in chosen) else sum(chosen)
 
 
 def _met(tokens: DataFrame, which: Column) -> DataFrame:
@@ -174,8 +287,9 @@ def _met(tokens: DataFrame, which: Column) -> DataFrame:
     of unlike tokens are formed. ``which`` is a condition on the two rows, a and b.
     """
     t = tokens.where(F.length("token") >= 4)
-    cuts = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token"))))
-    spread = t.select("token", "n", F.explode(F.array_distinct(F.array_append(cuts, F.col("token")))).alias("cut"))
+    # hashes, so that a long token writes no more than its length
+    cuts = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.xxhash64(F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token")))))
+    spread = t.select("token", "n", F.explode(F.array_distinct(F.array_append(cuts, F.xxhash64("token")))).alias("cut"))
     a, b = spread.alias("a"), spread.alias("b")
     met = a.join(b, (F.col("a.cut") == F.col("b.cut")) & which).select(F.col("a.token").alias("token"), F.col("b.token").alias("other"), F.col("b.n").alias("n"))
     gap = F.levenshtein("token", "other")

@@ -12,11 +12,13 @@ so there only the frequencies tell a slip from another name.
 Defined results: placeholders, credits of a featured artist, and keys that are titles more often
 than artists form no pair; null, empty and punctuation-only names have no key. Only different forms
 of one anchor are compared, never rows or keys, so a name with a third of all rows costs as much as
-any other.
+any other; the forms of one anchor meet through an index of their tokens, so an anchor that many
+artists share, as a common surname, takes time in proportion to its forms.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
 from tonewright.functions.unicode import name_key
-from tonewright.llm.names import FULL_NAMES, PLACEHOLDERS, align, corrected, name_parts, slips
+from tonewright.llm.names import FULL_NAMES, PLACEHOLDERS, Index, align, corrected, name_parts, slips
 from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
@@ -70,18 +72,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # forms that write all their words out come first, the commonest ahead
         order = sorted(forms, key=lambda f: (any(len(t) == 1 for t in f[1]), -len(f[1]), -f[2], f[0]))
         heads: list[tuple[str, ...]] = []
-        keys: list[list[str]] = []
+        index = Index()
+        keys: list[tuple[str, int]] = []  # sorted, with the artist
         out = []
         for form, tokens, _, key in order:
-            fits = [(c, i) for i, head in enumerate(heads) if (c := align(tokens, head)) is not None]
+            near = index.near(tokens)
+            fits = [(c, i) for i in near if (c := align(tokens, heads[i])) is not None]
             if not fits:  # a name that was cut is the start of one of the artist's keys
-                fits = [(2, i) for i, known in enumerate(keys) if len(key) >= 10 and any(k.startswith(key) for k in known)]
+                at = bisect.bisect_left(keys, (key, -1))
+                cut_of = set()
+                while at < len(keys) and keys[at][0].startswith(key) and len(cut_of) < 2:
+                    if 2 * len(key) >= len(keys[at][0]):
+                        cut_of.add(keys[at][1])
+                    at += 1
+                fits = [(2, i) for i in cut_of]
             if not fits and len(tokens) > 1:  # or it leaves out words that several bands share
-                fits = [(3 + c, i) for i, head in enumerate(heads) if len(head) > len(tokens) and (c := align(tokens, head, 2)) is not None]
+                fits = [(3 + c, i) for i in near if len(heads[i]) > len(tokens) and (c := align(tokens, heads[i], 2)) is not None]
             if not fits:
                 out.append((anchor, form, len(heads), True))
+                bisect.insort(keys, (key, len(heads)))
                 heads.append(tokens)
-                keys.append([key])
+                index.add(tokens)
                 continue
             fits.sort()
             # a cheaper fit wins over initials and short forms; equal ones leave the form open
@@ -90,7 +101,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(fits) > 1 and fits[0][0] >= 2:
                 continue
             out.append((anchor, form, fits[0][1], False))
-            keys[fits[0][1]].append(key)
+            bisect.insort(keys, (key, fits[0][1]))
         return out
 
     def batch(rows: list[tuple[str, str, int, bool]]) -> pa.RecordBatch:
