@@ -5,18 +5,20 @@ index of character n-grams of the padded tokens: only the rarest n-grams of both
 up, and a pair stays if its cosine with the most that the others can add reaches the threshold, so
 no entry at or above the threshold of the weighted cosine can be missed. A slip in the rare token of
 a name leaves few n-grams, so names that one slip or one droppable word turns into each other also
-meet in an index of their symmetric deletes, whatever their cosine. All candidates are then aligned
-token by token; the entry with the cheapest alignment is accepted if no other entry fits as well.
+meet in an index of their symmetric deletes, whatever their cosine. Candidates are checked by aligning
+them token by token, as no share of n-grams tells one first name from another; those that pass are
+scored by their whole weighted cosine, and the best entry is accepted if its score reaches a threshold
+and leads by a margin.
 
 Defined results: null, empty and punctuation-only values have no key; keys that are an entry's own
-key are left out; a key that fits two entries equally (an initial shared by two first names) is left
+key are left out; a key that fits two entries (an initial shared by two first names) without a margin is left
 out; placeholders, credits of a featured artist and everything without a fitting entry map to ''.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
@@ -26,7 +28,8 @@ from tonewright.sources.checkpoints import cut
 from tonewright.sources.tables import table
 
 GRAM = 4
-THRESHOLD = 0.25
+THRESHOLD = 0.25  # of the cosine from which any pair is a candidate
+ACCEPTED, MARGIN = 0.1, 0.1  # least cosine of an entry that passes the check, and its least lead over others that do
 POWER = 3.0  # of the inverse document frequency in the list
 ROUNDING = 1e-5  # of sums of single precision
 
@@ -38,7 +41,7 @@ def alignment(typed: pa.Array, entry: pa.Array, typed_key: pa.Array, entry_key:
     for a, b, ka, kb in zip(typed.to_pylist(), entry.to_pylist(), typed_key.to_pylist(), entry_key.to_pylist()):
         one, two = tuple(a.split()), tuple(b.split())
         cost = align(one, two)
-        if cost is None and len(ka) >= 10 and kb.startswith(ka):  # cut at its end
+        if cost is None and 2 * len(ka) >= len(kb) and kb.startswith(ka):  # cut at its end, with half of the name left
             cost = 4
         if cost is None and len(one) > 2:  # leaves out words that several bands share
             left = align(one, two, 2)
@@ -98,11 +101,8 @@ def candidates(typed: DataFrame, listed: DataFrame) -> DataFrame:
     come with their ids, the cosine is that of the n-grams looked up."""
     index = cut(_grams(listed, "entry_id", "entry_form"))
     weights = cut(index.groupBy("gram").agg(F.count("*").alias("df")))
-    size = weights.agg(F.sum("df").alias("postings"), F.count("*").alias("grams")).first()
-    total = float(listed.count())
-    weigh = lambda df: F.pow(F.log(1 + F.lit(total) / df), F.lit(POWER))
     # an n-gram that the list doesn't have counts as one of average frequency
-    usual = F.lit(max((size.postings or 0) / max(size.grams, 1), 1.0))
+    weigh, usual = _weigher(weights, listed.count())
     entry_side = _rarest(index.join(weights, "gram").withColumn("w", weigh(F.col("df"))), "entry_id").withColumnsRenamed({"w": "we", "beyond": "beyond_e", "lost": "lost_e"})
     looked = _grams(typed, "typed_id", "form").join(weights, "gram", "left").withColumn("w", weigh(F.coalesce("df", usual)))
     typed_side = _rarest(looked, "typed_id")
@@ -114,16 +114,42 @@ def candidates(typed: DataFrame, listed: DataFrame) -> DataFrame:
     return pairs.where(F.col("slip") | (F.col("cosine") + F.col("more") >= THRESHOLD - ROUNDING)).select("typed_id", "entry_id", "cosine")
 
 
+def _weigher(weights: DataFrame, entries_listed: int):
+    """The weight of an n-gram by the number of entries that have it, and the number that stands for those of none."""
+    size = weights.agg(F.sum("df").alias("postings"), F.count("*").alias("grams")).first()
+    usual = F.lit(max((size.postings or 0) / max(size.grams, 1), 1.0))
+    return (lambda df: F.pow(F.log(1 + F.lit(float(entries_listed)) / df), F.lit(POWER))), usual
+
+
+def cosines(pairs: DataFrame, weights: DataFrame, weigh, usual: Column) -> DataFrame:
+    """(typed_id, entry_id, cosine): the whole weighted cosine of pairs with form and entry_form."""
+
+    def grams(form: str) -> Column:
+        tokens = F.transform(F.array_distinct(F.split(form, " ")), lambda t: F.concat(F.lit("^"), t, F.lit("$")))
+        parts = F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (GRAM - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(GRAM))))
+        return F.array_distinct(F.flatten(parts))
+
+    sides = pairs.select("typed_id", "entry_id", grams("form").alias("a"), grams("entry_form").alias("b"))
+    each = sides.select("typed_id", "entry_id", "a", "b", F.explode(F.array_union("a", "b")).alias("gram")).select("typed_id", "entry_id", "gram", F.array_contains("a", F.col("gram")).cast("double").alias("a"), F.array_contains("b", F.col("gram")).cast("double").alias("b"))
+    each = each.join(weights, "gram", "left").withColumn("w", F.pow(weigh(F.coalesce("df", usual)), F.lit(2.0)))
+    sums = each.groupBy("typed_id", "entry_id").agg(*(F.sum(x).alias(n) for n, x in (("a", F.col("w") * F.col("a")), ("b", F.col("w") * F.col("b")), ("dot", F.col("w") * F.col("a") * F.col("b")))))
+    return sums.select("typed_id", "entry_id", (F.col("dot") / F.sqrt(F.col("a") * F.col("b"))).alias("cosine"))
+
+
 def mapped(spark: SparkSession, folder: str) -> DataFrame:
     """(key, canonical_name, cosine, cost, ambiguous) of every typed key that is no entry's key."""
     # the checkpoint fixes the ids, so they are the same wherever they are read
     listed = cut(entries(spark, folder).withColumn("entry_id", F.monotonically_increasing_id()))
     typed = cut(typed_keys(spark, folder).join(listed.select(F.col("entry_key").alias("key")), "key", "left_anti").withColumn("typed_id", F.monotonically_increasing_id()))
     wanted = typed.where(~F.col("credit") & ~F.concat_ws(" ", F.array_sort(F.split("form", " "))).isin(*PLACEHOLDERS))
-    pairs = candidates(wanted, listed).join(typed.select("typed_id", "key", "form"), "typed_id").join(listed, "entry_id")
-    fits = pairs.withColumn("cost", alignment("form", "entry_form", "key", "entry_key")).where("cost is not null")
-    best = fits.groupBy("key").agg(F.min(F.struct("cost", (-F.col("cosine")).alias("far"), "canonical_name")).alias("best"), F.array_sort(F.collect_list("cost")).alias("costs"))
-    chosen = best.select("key", "best.canonical_name", (-F.col("best.far")).alias("cosine"), "best.cost", ((F.size("costs") > 1) & (F.get("costs", F.lit(0)) == F.get("costs", F.lit(1)))).alias("ambiguous"))
+    pairs = candidates(wanted, listed).select("typed_id", "entry_id").join(typed.select("typed_id", "key", "form"), "typed_id").join(listed, "entry_id")
+    # the exact check; what fails it can't be the name, however many n-grams it shares
+    fits = cut(pairs.withColumn("cost", alignment("form", "entry_form", "key", "entry_key")).where("cost is not null"))
+    weights = _grams(listed, "entry_id", "entry_form").groupBy("gram").agg(F.count("*").alias("df"))
+    weigh, usual = _weigher(weights, listed.count())
+    scored = fits.join(cosines(fits, weights, weigh, usual), ["typed_id", "entry_id"]).where(F.col("cosine") >= ACCEPTED)
+    best = scored.groupBy("key").agg(F.max(F.struct("cosine", (-F.col("cost")).alias("near"), "canonical_name")).alias("best"), F.sort_array(F.collect_list("cosine"), asc=False).alias("all"))
+    chosen = best.select("key", "best.canonical_name", "best.cosine", (-F.col("best.near")).alias("cost"), ((F.size("all") > 1) & (F.get("all", F.lit(0)) - F.get("all", F.lit(1)) < MARGIN)).alias("ambiguous"))
     return typed.select("key").join(chosen, "key", "left")
 
 
