@@ -1,6 +1,8 @@
 """Encoding repair, look-alikes and sentences."""
 
 import random
+import sys
+import unicodedata
 
 import pytest
 
@@ -45,6 +47,32 @@ def test_ordinary_scripts_stay(text):
     assert lookalike.canonical(text) == text
 
 
+def test_every_unstable_character_becomes_stable():
+    """Each code point alone and after a letter, against the normalisation of the whole text."""
+    unstable, kept = lookalike._quick_check()
+    assert len(kept) < 500 and not any(unicodedata.normalize("NFC", c) != c for c in kept)
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or unicodedata.category(c) == "Cn":
+            continue
+        for text in (c, "a" + c, "か" + c):
+            form = lookalike.canonical(text)
+            assert unicodedata.is_normalized("NFC", form), hex(code)
+            if not unicodedata.is_normalized("NFC", c):
+                assert lookalike.canonical(unicodedata.normalize("NFC", text)) == form, hex(code)
+            assert lookalike.canonical(form) == form, hex(code)
+
+
+@pytest.mark.parametrize("text", ["\u2126 and \u212b", "\uf900\u1fbe", "ά\u1f71", "\u0958", "ל\u05b0\u05bc", "각", "q\u0323\u0307", "q\u0307\u0323"])
+def test_segments_as_whole_texts(text):
+    assert lookalike.canonical(text) == unicodedata.normalize("NFKC", text)
+
+
+@pytest.mark.parametrize("text", ["№ 5 … 12″", "x² + ½", "Söder · Ä", "น้ำ", "µ-Band™"])
+def test_characters_of_ordinary_writing_stay(text):
+    assert lookalike.canonical(text) == text
+
+
 def test_canonical_form_is_stable():
     rng = random.Random(1)
     letters = "abcéöСараο ﬁ ​́-‑Ⅱ日本"

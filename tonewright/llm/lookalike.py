@@ -1,9 +1,11 @@
 """Problem 2: text that looks the same but holds other characters.
 
-A quick check in the JVM keeps the values that hold a character or a neighbourhood of scripts that
-can be unstable; of those, only the unstable segments, with the character before them as context,
-are normalised and spliced into the unchanged rest. Invisible characters are dropped, special blanks
-and hyphens become ordinary ones, and words that mix scripts through look-alike letters get one.
+The quick-check property of the Unicode data tells which characters normalisation may change: the
+values beyond ASCII pass a quick check as a whole, and of those that fail it only the unstable
+segments, with the character before them as context, are normalised and spliced into the unchanged
+rest. The few characters of ordinary writing that NFKC would rewrite are listed and stay. Invisible
+characters are dropped, special blanks and hyphens become ordinary ones, and words that mix scripts
+through look-alike letters get one.
 
 Defined results: null, empty and ASCII values are ordinary; joiners between letters that need them
 (Arabic script, Indic scripts) stay; values garbled by a false decoding are left to that problem; a
@@ -12,7 +14,9 @@ file repeated in the table gives one row per field.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from tonewright.llm.confusables import WORD, plain_word
+from tonewright.llm.confusables import plain_letters
 from tonewright.llm.mojibake import repair
 from tonewright.sources.tables import table
 
@@ -30,23 +34,69 @@ FIELDS = ("tag_artist", "tag_title", "tag_album")
 _BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 _HYPHENS = "\u2010-\u2012\u2043\u2212\ufe58\ufe63\uff0d"
 _HIDDEN = "\u00ad\u034f\u061c\u115f\u1160\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufe00-\ufe0f"
-_FORMS = "\u2100-\u2115\u2118-\u2121\u2123-\u2125\u2128-\u214e\u2160-\u217f\u2460-\u24ff\u3130-\u318f\u3200-\u33ff\ufb00-\ufb4f\ufe30-\ufe4f\uff01-\uffef"
-_MARKS = "\u0300-\u036f\u3099\u309a\u1100-\u11ff"
-# what the JVM looks for: a character of the sets above, or letters of two scripts side by side
-QUICK = rf"[{_BLANKS}{_HYPHENS}{_HIDDEN}{_FORMS}{_MARKS}]|[\x{{1D400}}-\x{{1D7FF}}]|[A-Za-z\u00c0-\u024f][\u0370-\u058f\u13a0-\u13ff]|[\u0370-\u058f\u13a0-\u13ff][A-Za-z\u00c0-\u024f]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]|[\u0131\u0251\u0261]"
 
 _JOINED = regex.compile(r"(?<=[\p{Arabic}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Gujarati}\p{Gurmukhi}\p{Oriya}\p{Sinhala}\p{Mongolian}])[\u200c\u200d](?=[\p{Arabic}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Gujarati}\p{Gurmukhi}\p{Oriya}\p{Sinhala}\p{Mongolian}])|(?<=\p{So})[\u200d\ufe0f]|[\u200d\ufe0f](?=\p{So})")
 _HIDE = regex.compile(rf"[{_HIDDEN}]")
 _BLANK = regex.compile(rf"[{_BLANKS}]")
 _HYPHEN = regex.compile(rf"[{_HYPHENS}]")
-# an unstable segment: the character before (a mark may combine with it), then compatibility forms and marks
-_SEGMENT = regex.compile(rf"[^{_MARKS}]?[{_MARKS}{_FORMS}\U0001d400-\U0001d7ff]+")
 _KEPT = "\ue100"
 
-
-def _stable(match: regex.Match) -> str:
-    segment = match[0]
-    return segment if unicodedata.is_normalized("NFKC", segment) else unicodedata.normalize("NFKC", segment)
+# Characters of ordinary writing though NFKC rewrites them (fixed values): dots, primes, numero, micro, letters of Catalan,
+# Afrikaans, Thai, Lao and Tibetan. Superscripts, subscripts, fractions and accents that stand alone are ordinary as well.
+ORDINARY = frozenset("\u2025\u2026\u2033\u2034\u2036\u2037\u2057\u2116\u2122\u00b5\u0140\u013f\u0149\u0e33\u0eb3\u0edc\u0edd\u0f0c\u0f77\u0f79")
+
+
+@lru_cache(maxsize=1)
+def _quick_check() -> tuple[frozenset[str], frozenset[str]]:
+    """(unstable, kept): the characters whose quick check for NFC or NFKC is no or maybe, and those of them that stay as they are.
+
+    No: normalising the character changes it. Maybe: it may combine with one before it or move among
+    marks, which is so for the seconds of all composites, the later parts of Hangul and all marks that
+    have a place in the order.
+    """
+    unstable, kept = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}, set()
+    for code in range(sys.maxunicode + 1):
+        if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:
+            continue
+        c = chr(code)
+        if unicodedata.combining(c):
+            unstable.add(c)
+        parts = unicodedata.decomposition(c)
+        if not parts:
+            continue
+        if parts[0] != "<":
+            first, *second = parts.split()
+            unstable.update(chr(int(x, 16)) for x in second)
+        if not unicodedata.is_normalized("NFC", c):
+            unstable.add(c)
+        elif not unicodedata.is_normalized("NFKC", c):
+            tag = parts.split()
+            (kept if c in ORDINARY or tag[0] in ("<super>", "<sub>", "<fraction>") or tag[1] == "0020" and c not in "\u00a0\u3000" and len(tag) > 2 else unstable).add(c)
+    return frozenset(unstable), frozenset(kept)
+
+
+def _stable(text: str) -> str:
+    """The text with its unstable segments, each with the character before it, normalised and spliced in."""
+    if unicodedata.is_normalized("NFKC", text):
+        return text
+    unstable, kept = _quick_check()
+    out, done, i, n = [], 0, 0, len(text)
+    while i < n:
+        if text[i] not in unstable:
+            i += 1
+            continue
+        start = i if i == done or text[i - 1] in kept else i - 1
+        while i < n and text[i] in unstable:
+            i += 1
+        # first what is canonically the same, which may be a character that stays
+        segment = unicodedata.normalize("NFC", text[start:i])
+        if kept.isdisjoint(segment):
+            segment = unicodedata.normalize("NFKC", segment)
+        else:
+            segment = "".join(c if c in kept else unicodedata.normalize("NFKC", c) for c in segment)
+        out += [text[done:start], segment]
+        done = i
+    return "".join(out) + text[done:]
 
 
 def canonical(text: str) -> str:
@@ -56,11 +106,10 @@ def canonical(text: str) -> str:
     kept = [m[0] for m in _JOINED.finditer(text)]
     if kept:
         text = _JOINED.sub(_KEPT, text)
-    text = _HYPHEN.sub("-", _BLANK.sub(" ", _HIDE.sub("", text)))
-    text = _SEGMENT.sub(_stable, text)
-    plain = WORD.sub(lambda m: plain_word(m[0]), text)
-    if plain != text:  # a letter that changed may combine with the mark after it
-        text = _SEGMENT.sub(_stable, plain)
+    before = None
+    while text != before:  # what is left may be hidden, or a changed letter combine with the mark after it
+        before = text
+        text = plain_letters(_stable(_HYPHEN.sub("-", _BLANK.sub(" ", _HIDE.sub("", text)))))
     if kept:
         parts = text.split(_KEPT)
         text = parts[0] + "".join(a + b for a, b in zip(kept, parts[1:]))
@@ -78,7 +127,8 @@ def canonical_form(texts: pa.Array) -> pa.Array:
 
 
 def unstable(name: str) -> Column:
-    return F.col(name).rlike(QUICK)
+    """What has to be looked at: ASCII is stable."""
+    return F.col(name).rlike(r"[^\x00-\x7f]")
 
 
 def lookalike_fields(spark: SparkSession, folder: str) -> DataFrame:
