@@ -5,7 +5,9 @@ at most one entry per length up to the capacity, so the plan is made on the driv
 number of texts: from the longest length down, a sequence's gap is filled by a single, a pair or a
 triple of lengths that fit it exactly, as long as the counts allow, else by the longest that fits.
 A plan is a list of patterns with their numbers of repeats; texts find their place by their rank
-among those of equal length. Ranks are counted in salted groups, so no length is a hot key.
+among those of equal length. A common length is ranked in as many groups as its texts need, so no
+length is a hot key; pieces as long as a sequence need no rank, and their sequence ids, which follow
+those of the plan, have gaps.
 
 Defined results: texts longer than the capacity are cut into full pieces and a rest; null and empty
 texts have no tokens and come out once with a null sequence_id; equal ids are different texts.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +30,7 @@ from tonewright.sources.tables import table
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SALTS = 64
+GROUP = 250_000  # texts of one length that one task ranks, about
 
 
 def _encoding(path: str):
@@ -153,25 +156,26 @@ def pieces(lengths: DataFrame, capacity: int) -> DataFrame:
 def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows of (doc_id, piece, token_start, n_tokens, sequence_id, sequence_offset) for rows of (doc_id, n_tokens)."""
     spark = lengths.sparkSession
-    items = cut(pieces(lengths, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    # at most capacity times SALTS rows, whatever the number of texts
-    groups = items.where("n > 0").groupBy("n", "salt").count().collect()
-    counts: dict[int, int] = {}
-    offsets = []
-    for g in sorted(groups, key=lambda g: (g.n, g.salt)):
-        offsets.append((g.n, g.salt, counts.get(g.n, 0)))
-        counts[g.n] = counts.get(g.n, 0) + g["count"]
-    before = spark.createDataFrame(offsets, "n bigint, salt int, before bigint")
-    places = spark.createDataFrame(_segments(plan(counts, capacity)), "n bigint, first bigint, end bigint, uses bigint, sequence bigint, base bigint")
+    items = cut(pieces(lengths, capacity))
+    # one row per length, whatever the number of texts; a full piece is a sequence by itself and needs no plan
+    counts = {r.n: r["count"] for r in items.where((F.col("n") > 0) & (F.col("n") < capacity)).groupBy("n").count().collect()}
+    patterns = plan(counts, capacity)
+    places = spark.createDataFrame(_segments(patterns), "n bigint, first bigint, end bigint, uses bigint, sequence bigint, base bigint")
+    # common lengths are ranked in as many groups as they need
+    salts = max(1, math.ceil(max(counts.values(), default=0) / GROUP))
+    salted = items.where((F.col("n") > 0) & (F.col("n") < capacity)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    groups = Window.partitionBy("n").orderBy("salt")
+    before = salted.groupBy("n", "salt").agg(F.count("*").alias("size")).select("n", "salt", (F.sum("size").over(groups) - F.col("size")).alias("before"))
     order = Window.partitionBy("n", "salt").orderBy("doc_id", "piece")
-    ranked = items.where("n > 0").withColumn("place", F.row_number().over(order)).join(F.broadcast(before), ["n", "salt"]).withColumn("rank", F.col("before") + F.col("place") - 1)
+    ranked = salted.withColumn("place", F.row_number().over(order)).join(before.hint("shuffle_merge"), ["n", "salt"]).withColumn("rank", F.col("before") + F.col("place") - 1)
     # bounded by the number of patterns, itself by that of lengths
     p = places.withColumnRenamed("n", "length").hint("broadcast")
     placed = ranked.join(p, (F.col("n") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     at = F.col("rank") - F.col("first")
     packed = placed.select("doc_id", "piece", "token_start", F.col("n").alias("n_tokens"), (F.col("sequence") + F.expr("(rank - first) div uses")).alias("sequence_id"), (F.col("base") + (at % F.col("uses")) * F.col("n")).alias("sequence_offset"))
+    full = items.where(F.col("n") == capacity).select("doc_id", "piece", "token_start", F.col("n").alias("n_tokens"), (F.lit(sum(times for _, times in patterns)) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("sequence_offset"))
     none = F.lit(None).cast("bigint")
-    return packed.unionByName(items.where("n <= 0").select("doc_id", "piece", "token_start", F.col("n").alias("n_tokens"), none.alias("sequence_id"), none.alias("sequence_offset")))
+    return packed.unionByName(full).unionByName(items.where("n <= 0").select("doc_id", "piece", "token_start", F.col("n").alias("n_tokens"), none.alias("sequence_id"), none.alias("sequence_offset")))
 
 
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,6 +35,12 @@ def file_values(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("file_id").agg(F.max("l").alias("l"), F.max(F.coalesce("b", F.lit(-1))).alias("b"), F.max("filled").alias("filled"))
 
 
+def file_times(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_id, changed): when a file was last changed, by its latest scan; null where no scan tells."""
+    f = table(spark, folder, "files", "file_id", "mtime_unix", "last_update_at").where("file_id is not null and mtime_unix is not null and last_update_at is not null")
+    return f.groupBy("file_id").agg(F.max_by("mtime_unix", F.struct("last_update_at", "mtime_unix")).alias("changed"))
+
+
 def members(spark: SparkSession, folder: str) -> DataFrame:
     """One row per cluster_key and file_id: q, l, b, filled (missing is worst) and preferred."""
     c = table(spark, folder, "cluster_members", "cluster_key", "file_id", "quality_score", "preferred").where(F.col("cluster_key").isNotNull() & F.col("file_id").isNotNull())
@@ -45,9 +51,15 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("cluster_key", "file_id", "q", F.coalesce("l", F.lit(-1)).alias("l"), F.coalesce("b", F.lit(-1)).alias("b"), F.coalesce("filled", F.lit(0)).alias("filled"), "preferred")
 
 
-def best_member(rows: DataFrame) -> DataFrame:
-    """The top row of each cluster_key: the ranked values, then preferred, then the smallest file_id."""
-    order = Window.partitionBy("cluster_key").orderBy(*(F.col(c).desc() for c in RANKED), F.col("preferred").desc(), F.col("file_id"))
+def recent_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The members with the time of their last change; a missing time is the oldest."""
+    joined = members(spark, folder).join(file_times(spark, folder), "file_id", "left")
+    return joined.withColumn("changed", F.coalesce("changed", F.lit(-(1 << 62))))
+
+
+def best_member(rows: DataFrame, *trust: str) -> DataFrame:
+    """The top row of each cluster_key: the ranked values, then the columns of trust and recency, then the smallest file_id."""
+    order = Window.partitionBy("cluster_key").orderBy(*(F.col(c).desc() for c in (*RANKED, *trust)), F.col("file_id"))
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
@@ -55,7 +67,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The file that is no worse than each other file of its cluster in all four values and better than each in one."""
     # files that agree in all four values count together, before any shuffle by cluster
     values = cut(members(spark, folder).groupBy("cluster_key", *RANKED).agg(F.min("file_id").alias("file_id"), F.count("*").alias("n")))
-    top = best_member(values.withColumn("preferred", F.lit(False)))
+    top = best_member(values)
     groups = values.groupBy("cluster_key").agg(*(F.max(c).alias(f"most_{c}") for c in RANKED), F.sum("n").alias("files"))
     best = top.join(groups, "cluster_key").where("n = 1 and files > 1")
     for c in RANKED:
@@ -65,7 +77,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_survivor(spark: SparkSession, folder: str) -> DataFrame:
     """One surviving file for every cluster_key that has members, with the values it won by; missing values are null."""
-    top = best_member(members(spark, folder))
+    top = best_member(recent_members(spark, folder), "preferred", "changed")
     none = F.lit(None)
     return top.select("cluster_key", "file_id", F.when(F.col("q") != float("-inf"), F.col("q")).otherwise(none).alias("quality_score"), F.when(F.col("l") >= 0, F.col("l") == 1).otherwise(none).alias("lossless"), F.when(F.col("b") >= 0, F.col("b").cast("bigint")).otherwise(none).alias("bitrate_kbps"), F.col("filled").cast("bigint").alias("filled"), "preferred")
 
@@ -75,8 +87,8 @@ def p5_record(spark: SparkSession, folder: str) -> DataFrame:
     fields = (*TEXTS, "tag_track")
     m = table(spark, folder, "metadata", "file_id", *fields)
     tags = m.groupBy("file_id").agg(*(F.max(F.when(F.col(c) != (0 if c == "tag_track" else ""), F.col(c))).alias(c) for c in fields))
-    rows = members(spark, folder).join(tags, "file_id", "left")
-    rank = F.struct("q", "l", "b", "filled", "preferred", (-F.col("file_id")).alias("at"))
+    rows = recent_members(spark, folder).join(tags, "file_id", "left")
+    rank = F.struct("q", "l", "b", "filled", "preferred", "changed", (-F.col("file_id")).alias("at"))
     return rows.groupBy("cluster_key").agg(F.count("*").alias("files"), F.max_by("file_id", rank).alias("file_id"), *(F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in fields)).withColumn("tag_track", F.col("tag_track").cast("bigint"))
 
 
@@ -87,7 +99,8 @@ _FILES = """files_of as (select file_id, max(coalesce(lossless::int, -1)) l, max
  + (coalesce(tag_date, '') <> '')::int + (coalesce(tag_track, 0) <> 0)::int) filled from metadata group by file_id),
  one as (select cluster_key, file_id, max(coalesce(quality_score, '-infinity'::double)) q, bool_or(coalesce(preferred, false)) preferred from cluster_members
  where cluster_key is not null and file_id is not null group by all),
- mem as (select cluster_key, one.file_id, q, coalesce(l, -1) l, coalesce(b_, -1) b, coalesce(filled, 0) filled, preferred from one left join files_of using (file_id))"""
+ times as (select file_id, arg_max(mtime_unix, (last_update_at, mtime_unix)) changed from files where file_id is not null and mtime_unix is not null and last_update_at is not null group by 1),
+ mem as (select cluster_key, one.file_id, q, coalesce(l, -1) l, coalesce(b_, -1) b, coalesce(filled, 0) filled, preferred, coalesce(changed, -4611686018427387904) changed from one left join files_of using (file_id) left join times using (file_id))"""
 
 SQL = {
     "p5_found": f"""with {_FILES} select cluster_key, file_id from mem x where exists (select 1 from mem y where y.cluster_key = x.cluster_key and y.file_id <> x.file_id)
@@ -95,11 +108,11 @@ SQL = {
  (x.q >= y.q and x.l >= y.l and x.b >= y.b and x.filled >= y.filled and (x.q > y.q or x.l > y.l or x.b > y.b or x.filled > y.filled)))""",
     "p5_survivor": f"""with {_FILES} select cluster_key, file_id, case when q <> '-infinity'::double then q end quality_score, case when l >= 0 then l = 1 end lossless,
  case when b >= 0 then b::bigint end bitrate_kbps, filled::bigint filled, preferred from mem
- qualify row_number() over (partition by cluster_key order by q desc, l desc, b desc, filled desc, preferred desc, file_id) = 1""",
+ qualify row_number() over (partition by cluster_key order by q desc, l desc, b desc, filled desc, preferred desc, changed desc, file_id) = 1""",
     "p5_record": f"""with {_FILES}, tags as (select file_id, max(nullif(tag_artist, '')) tag_artist, max(nullif(tag_album, '')) tag_album, max(nullif(tag_title, '')) tag_title,
  max(nullif(tag_albumartist, '')) tag_albumartist, max(nullif(tag_date, '')) tag_date, max(nullif(tag_track, 0)) tag_track from metadata group by file_id),
  r as (select mem.*, tag_artist, tag_album, tag_title, tag_albumartist, tag_date, tag_track from mem left join tags using (file_id)),
- o as (select *, row_number() over (partition by cluster_key order by q desc, l desc, b desc, filled desc, preferred desc, file_id) place from r)
+ o as (select *, row_number() over (partition by cluster_key order by q desc, l desc, b desc, filled desc, preferred desc, changed desc, file_id) place from r)
  select cluster_key, count(*) files, arg_min(file_id, place) file_id, arg_min(tag_artist, place) filter (tag_artist is not null) tag_artist,
  arg_min(tag_album, place) filter (tag_album is not null) tag_album, arg_min(tag_title, place) filter (tag_title is not null) tag_title,
  arg_min(tag_albumartist, place) filter (tag_albumartist is not null) tag_albumartist, arg_min(tag_date, place) filter (tag_date is not null) tag_date,

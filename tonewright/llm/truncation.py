@@ -56,9 +56,10 @@ def words(values: DataFrame) -> DataFrame:
     inner = v.select(F.explode(F.slice("w", 1, F.size("w") - 1)).alias("word"), F.lit(1).alias("inner"), F.lit(0).alias("final"))
     counts = inner.unionByName(v.select(last.alias("word"), F.lit(0).alias("inner"), F.lit(1).alias("final"))).where("word <> ''")
     counts = cut(counts.groupBy("word").agg(F.sum("inner").alias("inner"), F.sum("final").alias("final")))
-    known = counts.where("inner + final > 1 and length(word) > 1").select((F.col("inner") + F.col("final")).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("word"))
-    longer = known.groupBy("word").agg(F.max("n").alias("longer"), F.sum("n").alias("longer_all"))
-    return counts.join(longer, "word", "left").na.fill(0)
+    known = counts.where("inner + final > 1 and length(word) > 1").select((F.col("inner") + F.col("final")).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.xxhash64(F.substring("word", F.lit(1), k)))).alias("start"))
+    # starts by their hash, so that a long word writes no more than its length
+    longer = known.groupBy("start").agg(F.max("n").alias("longer"), F.sum("n").alias("longer_all"))
+    return counts.withColumn("start", F.xxhash64("word")).join(longer, "start", "left").drop("start").na.fill(0)
 
 
 def limits(values: DataFrame) -> DataFrame:
@@ -93,7 +94,9 @@ def limits(values: DataFrame) -> DataFrame:
 def _judged(values: DataFrame) -> DataFrame:
     """Values with the evidence of their ending as a log likelihood ratio, and the posterior of a limit."""
     v = values.withColumn("word", _last_word(F.col("value")))
-    v = v.join(words(values), "word", "left").na.fill(0, ["inner", "final", "longer", "longer_all"])
+    # values without a last word have no partner: a key of their own spreads them over the tasks
+    apart = F.when(F.col("word") == "", F.concat(F.lit(" "), F.col("file_id").cast("string"))).otherwise(F.col("word"))
+    v = v.withColumn("at_word", apart).join(words(values).withColumnRenamed("word", "at_word"), "at_word", "left").drop("at_word").na.fill(0, ["inner", "final", "longer", "longer_all"])
     bounds = limits(values)
     size = F.when(F.col("unit") == "bytes", F.octet_length("value")).otherwise(F.length("value"))
     per_source = bounds.groupBy("field", "source").agg(F.max("unit").alias("unit"), F.max("limit").alias("limit"), F.max(F.when(F.col("n") == F.col("limit"), F.col("posterior"))).alias("at_limit"), F.max(F.when(F.col("n") < F.col("limit"), F.col("posterior"))).alias("below"))
@@ -105,19 +108,25 @@ def _judged(values: DataFrame) -> DataFrame:
     v = v.join(others, ["field", "value"], "left")
     v = v.withColumn("posterior", F.when(F.col("limit").isNull(), F.lit(None)).when((size >= F.col("limit")) | wide, F.col("at_limit")).when(size == F.col("limit") - 1, F.col("below")))
     n = F.length("word")
-    opened = F.length(F.regexp_replace("value", r"[^(\[]", "")) > F.length(F.regexp_replace("value", r"[^)\]]", ""))
-    # a word that the tables know only as the start of longer ones
-    rare = (F.col("inner") * 400 < F.col("longer")) & (F.col("final") * 5 < F.col("longer")) & (F.col("longer") >= 5)
-    short = (F.col("inner") == 0) & (F.col("final") <= 2) & (n <= 4) & F.col("word").rlike(r"^\p{L}+$") & (F.col("longer_all") > 0)
+    # each sign is computed once, as a column
+    v = v.withColumns({
+        "opened": F.length(F.regexp_replace("value", r"[^(\[]", "")) > F.length(F.regexp_replace("value", r"[^)\]]", "")),
+        # a word that the tables know only as the start of longer ones
+        "rare": (F.col("inner") * 400 < F.col("longer")) & (F.col("final") * 5 < F.col("longer")) & (F.col("longer") >= 5),
+        "short": (F.col("inner") == 0) & (F.col("final") <= 2) & (n <= 4) & F.col("word").rlike(r"^\p{L}+$") & (F.col("longer_all") > 0),
+        "trails": (F.col("word") == "") & F.col("value").rlike(r"[\s,&/-]$"),
+        # a name written last part first may end in a short form, and names joined by '_' lose a closing bracket
+        "turned": (F.col("field") == "tag_artist") & F.col("value").rlike(r"^[^,]+,\s*\p{L}+$"),
+    })
+    opened, rare, short, turned = (F.col(c) for c in ("opened", "rare", "short", "turned"))
     # words that hardly ever end a value speak for a cut, words that often do against it
     usual = F.log((F.col("inner") + 0.5) / (F.col("final") + 0.5)) - 0.5
     known = F.coalesce("continued", F.lit(False)) & (F.col("word") != "")
-    at_end = F.when(opened, 6.0).when(known, 3.0).when(F.col("word") == "", F.when(F.col("value").rlike(r"[\s,&/-]$"), 3.0).otherwise(-3.5)).when(rare, 5.0).when(short, 3.0).when((F.col("inner") + F.col("final")) > 3, F.greatest(F.lit(-4.0), F.least(F.lit(4.0), usual))).otherwise(0.0)
-    # a name written last part first may end in a short form, and names joined by '_' lose a closing bracket
-    turned = (F.col("field") == "tag_artist") & F.col("value").rlike(r"^[^,]+,\s*\p{L}+$")
+    at_end = F.when(opened, 6.0).when(known, 3.0).when(F.col("word") == "", F.when(F.col("trails"), 3.0).otherwise(-3.5)).when(rare, 5.0).when(short, 3.0).when((F.col("inner") + F.col("final")) > 3, F.greatest(F.lit(-4.0), F.least(F.lit(4.0), usual))).otherwise(0.0)
     joined = F.contains("value", F.lit("_"))
     broken = F.when(turned, -9.0).when(opened & (rare | short), 9.0).when(opened & ~joined, 7.0).when(rare & (F.col("longer") > 25 * (F.col("inner") + F.col("final"))), 8.0).when(rare, 5.5).when(short, 5.0).otherwise(-9.0)
-    return v.withColumn("at_end", at_end).withColumn("broken", broken).withColumn("sure", (F.col("goes_on") | (broken >= 8.0)) & F.col("posterior").isNull())
+    v = v.withColumns({"at_end": at_end, "broken": broken})
+    return v.withColumn("sure", (F.col("goes_on") | (F.col("broken") >= 8.0)) & F.col("posterior").isNull())
 
 
 def cut_values(spark: SparkSession, folder: str) -> DataFrame:
