@@ -40,7 +40,7 @@ def test_keys(spark, small):
 
 
 def test_winner_is_the_older_of_equals(spark, small):
-    rows = L.with_winner(L.with_score(L.with_cluster_key(library(spark, small)))).where("place = 1").collect()
+    rows = L.winners(L.with_score(L.with_cluster_key(library(spark, small)))).collect()
     assert {r.file_id for r in rows} == {2, 3, 4, 5, 6, 7}
 
 

@@ -29,6 +29,41 @@ def folder(path: Column, above: int = 0) -> Column:
     return F.coalesce(F.get(F.reverse(F.split(path, "/")), F.lit(1 + above)), F.lit(""))
 
 
+def first_bytes(c: Column, most: int) -> Column:
+    """As many whole characters from the start as fit in that many bytes of UTF-8."""
+    data = F.encode(c, "UTF-8")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(*(F.try_validate_utf8(F.substring(data, 1, most - k).cast("string")) for k in range(min(4, most + 1)))))
+
+
+def last_bytes(c: Column, most: int) -> Column:
+    """As many whole characters from the end as fit in that many bytes of UTF-8."""
+    data, size = F.encode(c, "UTF-8"), F.octet_length(c)
+    return F.when(size <= most, c).otherwise(F.coalesce(*(F.try_validate_utf8(F.substring(data, size - F.lit(most - k - 1), F.lit(most)).cast("string")) for k in range(min(4, most + 1)))))
+
+
+def clean_path(c: Column) -> Column:
+    """The shortest path that means the same: no empty or '.' parts, '..' taken back; '.' for none."""
+    parts = F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
+    rooted = F.startswith(c, F.lit("/"))
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.coalesce(F.get(kept, F.size(kept) - 1), F.lit(""))
+        back = (part == "..") & (F.size(kept) > 0) & (last != "..")
+        return F.when(back, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when((part == "..") & rooted, kept).otherwise(F.array_append(kept, part))
+
+    path = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), path)).otherwise(F.when(path == "", ".").otherwise(path))
+
+
+def normal_path(c: Column, case_sensitive: bool = False) -> Column:
+    """A path as file systems compare it."""
+    return clean_path(c) if case_sensitive else F.lower(clean_path(c))
+
+
+def same_path(a: Column, b: Column, case_sensitive: bool = False) -> Column:
+    return normal_path(a, case_sensitive) == normal_path(b, case_sensitive)
+
+
 def path_component(c: Column) -> Column:
     """A name without characters that file systems refuse; 'Unknown' if nothing is left."""
 
@@ -38,7 +73,7 @@ def path_component(c: Column) -> Column:
         return F.regexp_replace(x, r"_+\z", "")
 
     def checked(y: Column) -> Column:
-        cut = F.when(F.octet_length(y) > 200, F.regexp_replace(F.substring(y, 1, 200), r"[ _.]+\z", "")).otherwise(y)
+        cut = F.when(F.octet_length(y) > 200, F.regexp_replace(first_bytes(y, 200), r"[ _.]+\z", "")).otherwise(y)
         return F.when(y == "", "Unknown").otherwise(cut)
 
     return let(c, lambda v: F.when((v == "") | (v == "_Singles"), v).otherwise(let(made(v), checked)))
@@ -70,9 +105,9 @@ def destination(root: str, c: dict[str, Column], compilation: Column) -> Column:
 
 
 def shortened(path: Column, most: int) -> Column:
-    """The middle of a long path left out."""
+    """The middle of a path of too many bytes left out; a character that would be cut is left out as well."""
     keep = most // 2 - 2
-    return F.when(F.octet_length(path) <= most, path).otherwise(F.concat(F.substring(path, 1, keep), F.lit("..."), F.right(path, F.lit(keep))))
+    return F.when(F.octet_length(path) <= most, path).otherwise(F.concat(first_bytes(path, keep), F.lit("..."), last_bytes(path, keep)))
 
 
 def byte_size(n: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Cluster, score, plan: the pipeline as one chain of two shuffles after the join, one by key and one by path."""
+"""Cluster, score, plan: winners by an aggregation over keys, collisions by a window over the winners' paths."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonewright.functions.paths import destination, folder, stem
 from tonewright.functions.scores import duration_bucket, quality_score
 from tonewright.functions.text import artist_key, title_key, version_kind
+from tonewright.sources.checkpoints import cut
 from tonewright.sources.library import columns, library
 
 ROOT = "/dest"
@@ -28,14 +29,15 @@ def with_score(lib: DataFrame) -> DataFrame:
     return lib.withColumn("score", quality_score(columns(lib)))
 
 
-def winner_order() -> list[Column]:
-    """Best score, then larger, older, first path; the file id leaves no tie."""
-    return [F.col("score").desc(), F.col("size_bytes").desc(), F.col("mtime_unix"), F.col("src_path"), F.col("file_id")]
+def winner_order() -> Column:
+    """Best score, then larger, older, first path; the file id leaves no tie. The least is the winner."""
+    return F.struct((-F.col("score")).alias("score"), (-F.col("size_bytes")).alias("size"), "mtime_unix", "src_path", "file_id")
 
 
-def with_winner(scored: DataFrame) -> DataFrame:
-    """place 1 is the winner of each key."""
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*winner_order())))
+def winners(scored: DataFrame) -> DataFrame:
+    """(key, file_id, score) of the winner of each key, by an aggregation that combines before its shuffle."""
+    best = scored.groupBy("key").agg(F.min(winner_order()).alias("best"))
+    return best.select("key", "best.file_id", (-F.col("best.score")).alias("score"))
 
 
 def compilations(lib: DataFrame) -> DataFrame:
@@ -43,23 +45,32 @@ def compilations(lib: DataFrame) -> DataFrame:
     return lib.where("tag_album <> '' and tag_artist <> ''").groupBy("tag_album").agg(F.countDistinct(F.lower("tag_artist")).alias("artists")).where("artists >= 3").select("tag_album")
 
 
-def with_destination(lib: DataFrame, root: str = ROOT) -> DataFrame:
-    flagged = lib.join(compilations(lib).withColumn("_many", F.lit(True)), "tag_album", "left")
-    return flagged.withColumn("compilation", F.coalesce("_many", F.lit(False))).withColumn("dest_path", destination(root, columns(lib), F.col("compilation"))).drop("_many")
+def with_destination(lib: DataFrame, root: str = ROOT, albums: DataFrame | None = None) -> DataFrame:
+    """``albums``: the compilations, where lib is but part of the library."""
+    many = (compilations(lib) if albums is None else albums).select(F.col("tag_album").alias("_album"), F.lit(True).alias("_many"))
+    # files without an album have no partner: a key of their own spreads them over the tasks
+    own = F.when(F.col("tag_album") != "", F.col("tag_album")).otherwise(F.concat(F.lit("\n"), F.col("file_id").cast("string")))
+    flagged = lib.withColumn("_album", own).join(many, "_album", "left")
+    return flagged.withColumn("compilation", F.coalesce("_many", F.lit(False))).withColumn("dest_path", destination(root, columns(lib), F.col("compilation"))).drop("_many", "_album")
 
 
 def plans(lib: DataFrame, action: str = "copy", case_sensitive: bool = False, root: str = ROOT) -> DataFrame:
-    """(file_id, key, score, action, dest_path, reason, collided): winners are placed, losers and collisions skipped."""
+    """(file_id, key, score, action, dest_path, reason, collided): winners are placed, losers and collisions skipped.
+
+    Winners are found by an aggregation; only they get a destination and pass the window over paths.
+    """
     if action not in ACTIONS:
         raise ValueError(f"unknown action {action}")
-    placed = with_destination(with_winner(with_score(with_cluster_key(lib))), root)
+    needed = ("file_id", "src_path", "size_bytes", "mtime_unix", "tag_artist", "tag_albumartist", "tag_album", "tag_title", "tag_date", "tag_track", "tag_track_total", "tag_disc", "tag_disc_total", "key", "score")
+    scored = cut(with_score(with_cluster_key(lib)).select(*needed))
+    marked = scored.join(winners(scored).select("file_id", F.lit(True).alias("won")), "file_id", "left")
+    placed = with_destination(marked.where("won"), root, compilations(scored))
     path = F.col("dest_path") if case_sensitive else F.lower("dest_path")
-    won = F.col("place") == 1
-    per_path = Window.partitionBy("_path", "_won").orderBy(F.col("score").desc(), F.col("file_id"))
-    ranked = placed.withColumn("_won", won).withColumn("_path", F.when(won, path).otherwise(F.concat(F.lit("\n"), F.col("key")))).withColumn("_rank", F.when(won, F.row_number().over(per_path)).otherwise(0))
-    kept = won & (F.col("_rank") == 1)
-    reason = F.when(kept, "best quality").when(won, "path collision").otherwise("duplicate")
-    return ranked.select("file_id", "key", "score", F.when(kept, action).otherwise("skip").alias("action"), F.when(kept, F.col("dest_path")).otherwise("").alias("dest_path"), reason.alias("reason"), (won & (F.col("_rank") > 1)).alias("collided"))
+    per_path = Window.partitionBy("_path").orderBy(F.col("score").desc(), F.col("file_id"))
+    ranked = placed.withColumn("_path", path).withColumn("kept", F.row_number().over(per_path) == 1)
+    taken = ranked.select("file_id", "key", "score", F.when(F.col("kept"), action).otherwise("skip").alias("action"), F.when(F.col("kept"), F.col("dest_path")).otherwise("").alias("dest_path"), F.when(F.col("kept"), "best quality").otherwise("path collision").alias("reason"), (~F.col("kept")).alias("collided"))
+    lost = marked.where("won is null").select("file_id", "key", "score", F.lit("skip").alias("action"), F.lit("").alias("dest_path"), F.lit("duplicate").alias("reason"), F.lit(False).alias("collided"))
+    return taken.unionByName(lost)
 
 
 def meta_ok(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonewright.sources.checkpoints import cut
+from tonewright.sources.library import library
 
 SORTS = {"path": ("src_path",), "artist": ("tag_artist", "tag_album", "tag_track"), "album": ("tag_album", "tag_track"), "title": ("tag_title",), "duration": ("-duration_ms",), "bitrate": ("-bitrate_kbps",)}
 
 
-def query(lib: DataFrame, *, artist: str = "", album: str = "", title: str = "", path: str = "", file_format: str = "", codec: str = "", lossless: bool = False, lossy: bool = False, empty_artist: bool = False, empty_album: bool = False, empty_title: bool = False, errors: bool = False, sort: str = "path", limit: int = 0) -> DataFrame:
-    """The files that meet all the conditions given; title and path are patterns of LIKE without case."""
-    tests: list[Column] = []
+def _tests(artist: str = "", album: str = "", title: str = "", path: str = "", file_format: str = "", codec: str = "", lossless: bool = False, lossy: bool = False, empty_artist: bool = False, empty_album: bool = False, empty_title: bool = False, errors: bool = False) -> tuple[list[Column], list[Column]]:
+    """Conditions on the tags, which hold for the table as it is as well, and on the files."""
+    tags: list[Column] = []
     if artist:
-        tests.append((F.col("tag_artist") == artist) | (F.col("tag_albumartist") == artist))
-    tests += [F.col(c) == v for c, v in (("tag_album", album), ("format", file_format), ("codec", codec)) if v]
-    tests += [F.col(c).ilike(f"%{v}%") for c, v in (("tag_title", title), ("src_path", path)) if v]
-    tests += [F.col("lossless")] * lossless + [~F.col("lossless")] * lossy
-    tests += [F.col(c) == "" for c, on in (("tag_artist", empty_artist), ("tag_album", empty_album), ("tag_title", empty_title)) if on]
-    tests += [F.col("status") == "error"] * errors
-    for test in tests:
+        tags.append((F.col("tag_artist") == artist) | (F.col("tag_albumartist") == artist))
+    tags += [F.col(c) == v for c, v in (("tag_album", album), ("format", file_format), ("codec", codec)) if v]
+    tags += [F.col("tag_title").ilike(f"%{title}%")] if title else []
+    tags += [F.col("lossless")] * lossless + [F.col("lossless").isNull() | ~F.col("lossless")] * lossy
+    tags += [F.col(c).isNull() | (F.col(c) == "") for c, on in (("tag_artist", empty_artist), ("tag_album", empty_album), ("tag_title", empty_title)) if on]
+    files = [F.col("src_path").ilike(f"%{path}%")] * bool(path) + [F.col("status") == "error"] * errors
+    return tags, files
+
+
+def query(lib: DataFrame, *, sort: str = "path", limit: int = 0, **conditions) -> DataFrame:
+    """The files that meet all the conditions given; title and path are patterns of LIKE without case."""
+    for test in (t for tests in _tests(**conditions) for t in tests):
         lib = lib.where(test)
     order = [F.col(c[1:]).desc() if c[0] == "-" else F.col(c) for c in SORTS.get(sort, SORTS["path"])]
     out = lib.orderBy(*order, "file_id")
     return out.limit(limit) if limit > 0 else out
 
 
+def query_library(spark: SparkSession, folder: str, **arguments) -> DataFrame:
+    """The same over the tables: conditions on tags reach the scan, and only the files that meet them are shuffled."""
+    tags, _ = _tests(**{k: v for k, v in arguments.items() if k not in ("sort", "limit")})
+    return query(library(spark, folder, tags), **arguments)
+
+
 def placed(ordered: DataFrame) -> DataFrame:
     """The rows of a sorted table with their place from 1; one row per partition is brought together, never the table."""
     rows = cut(ordered.withColumn("_row", F.monotonically_increasing_id()))  # the partition above 33 bits of position

@@ -14,6 +14,7 @@ from tonewright.operators import enrich as E
 from tonewright.operators import pipeline as L
 from tonewright.operators import reports as R
 from tonewright.plans import duck as D
+from tonewright.sources.checkpoints import cut
 from tonewright.sources.library import latest_files, library, one_metadata
 from tonewright.sources.tables import table
 
@@ -201,7 +202,7 @@ for _name, _args, _where in (
     ("album", {"album": "Engine EP"}, "tag_album = 'Engine EP'"), ("title", {"title": "ROAD TO"}, "tag_title ilike '%ROAD TO%'"), ("path", {"path": "/ripbox/"}, "src_path ilike '%/ripbox/%'"), ("format", {"file_format": "mp3"}, "format = 'mp3'"), ("codec", {"codec": "flac"}, "codec = 'flac'"),
     ("lossless", {"lossless": True}, "lossless"), ("lossy", {"lossy": True}, "not lossless"), ("lossless_and_lossy", {"lossless": True, "lossy": True}, "false"), ("empty_artist", {"empty_artist": True}, "tag_artist = ''"), ("empty_album", {"empty_album": True}, "tag_album = ''"), ("empty_title", {"empty_title": True}, "tag_title = ''"), ("errors", {"errors": True}, "status = 'error'"),
 ):
-    add(f"query_{_name}", lambda s, f, a=_args: R.query(library(s, f), **a).select(*_SHOWN), f"{D.LIB} select {', '.join(_SHOWN)} from lib where {_where}")
+    add(f"query_{_name}", lambda s, f, a=_args: R.query_library(s, f, **a).select(*_SHOWN), f"{D.LIB} select {', '.join(_SHOWN)} from lib where {_where}")
 for _name, _order in (("artist", "tag_artist, tag_album, tag_track"), ("album", "tag_album, tag_track"), ("title", "tag_title"), ("duration", "duration_ms desc"), ("bitrate", "bitrate_kbps desc"), ("path", "src_path")):
     add(f"o1_sort_{_name}", lambda s, f, n=_name: R.query(library(s, f), sort=n, limit=100).select(*_SHOWN), f"{D.LIB} select {', '.join(_SHOWN)} from lib order by {_order}, file_id limit 100")
     # the whole library; the row's place shows the order
@@ -225,10 +226,10 @@ add("a10_top_errors", lambda s, f: R.top_errors(latest_files(s, f)), f"with {D.F
 add("a14_total_size", lambda s, f: latest_files(s, f).groupBy(P.extension(c("src_path")).alias("extension")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("size")), f"with {D.FILES1} select {D.extension('src_path')} extension, count(*) n, sum(size_bytes)::bigint size from files1 group by 1")
 
 # windows and plans
-_placed = lambda s, f: L.with_winner(L.with_score(L.with_cluster_key(L.meta_ok(s, f))))
+_scored = lambda s, f: L.with_score(L.with_cluster_key(L.meta_ok(s, f)))
 _SCORED_OK = D.SCORED.replace("join meta1 using (file_id))", "join meta1 using (file_id) where status = 'meta_ok')", 1)
 _PLANNED_OK = D.PLANNED.replace("join meta1 using (file_id))", "join meta1 using (file_id) where status = 'meta_ok')", 1)
-add("w1_cluster_winner", lambda s, f: _placed(s, f).where("place = 1").select(c("key").alias("cluster_key"), "file_id", "score"), f"{_SCORED_OK} select \"key\" cluster_key, file_id, score from placed where place = 1")
+add("w1_cluster_winner", lambda s, f: L.winners(_scored(s, f)).select(c("key").alias("cluster_key"), "file_id", "score"), f"{_SCORED_OK} select \"key\" cluster_key, file_id, score from placed where place = 1")
 add("w4_member_order", lambda s, f: table(s, f, "cluster_members", "cluster_key", "file_id", "quality_score").distinct().withColumn("place", F.row_number().over(Window.partitionBy("cluster_key").orderBy(c("quality_score").desc_nulls_last(), "file_id"))), "select *, row_number() over (partition by cluster_key order by quality_score desc nulls last, file_id)::int place from (select distinct cluster_key, file_id, quality_score from cluster_members)")
 add("w5_planning_order", lambda s, f: table(s, f, "cluster_members", "cluster_key", "file_id", "quality_score", "preferred").groupBy("cluster_key", "file_id").agg(F.max("quality_score").alias("q"), F.max(F.coalesce("preferred", F.lit(False))).alias("p")).withColumn("place", F.row_number().over(Window.partitionBy("cluster_key").orderBy(c("p").desc(), c("q").desc_nulls_last(), "file_id"))).where("place = 1").select("cluster_key", "file_id"), "select cluster_key, file_id from (select cluster_key, file_id, max(quality_score) q, bool_or(coalesce(preferred, false)) p from cluster_members group by 1, 2) qualify row_number() over (partition by cluster_key order by p desc, q desc nulls last, file_id) = 1")
 add("w6_cluster_size", lambda s, f: table(s, f, "cluster_members", "cluster_key", "file_id").distinct().withColumn("size", F.count("*").over(Window.partitionBy("cluster_key"))), "select cluster_key, file_id, count(*) over (partition by cluster_key) size from (select distinct cluster_key, file_id from cluster_members)")
@@ -239,7 +240,8 @@ add("a4_action_counts", lambda s, f: L.plans(L.meta_ok(s, f)).groupBy("action",
 
 def display_paths(spark: SparkSession, folder: str) -> DataFrame:
     """The path shown for each collision: that of the lowest file among the winners that share it."""
-    won = L.with_destination(_placed(spark, folder).where("place = 1"))
+    scored = cut(_scored(spark, folder))
+    won = L.with_destination(scored.join(L.winners(scored).select("file_id"), "file_id", "left_semi"))
     return won.groupBy(F.lower("dest_path").alias("path")).agg(F.count("*").alias("n"), F.min_by("dest_path", "file_id").alias("shown")).where("n > 1")
 
 

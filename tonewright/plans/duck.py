@@ -137,11 +137,19 @@ def folder(x: str, above: int = 0) -> str:
     return f"coalesce(list_reverse(string_split({x}, '/'))[{2 + above}], '')"
 
 
+def first_bytes(x: str, n: int) -> str:
+    return "coalesce(" + ", ".join(f"try(decode(encode({x})[1:{n - k}]))" for k in range(4)) + ")"
+
+
+def last_bytes(x: str, n: int) -> str:
+    return "coalesce(" + ", ".join(f"try(decode(encode({x})[strlen({x}) - {n - k - 1}:strlen({x})]))" for k in range(4)) + ")"
+
+
 def path_component(x: str) -> str:
     bad = '/\\:*?"<>|!#@'
     y = sub(f"translate({x}, {q(bad)}, '{'_' * 12}')", "_{2,}", "_")
     y = sub(sub(trimmed(f"regexp_replace({y}, '^_+', '')"), r"^[.]+|[.]+$"), "_+$")
-    cut = f"case when strlen({y}) > 200 then regexp_replace(substr({y}, 1, 200), '[ _.]+$', '') else {y} end"
+    cut = f"case when strlen({y}) > 200 then regexp_replace({first_bytes(y, 200)}, '[ _.]+$', '') else {y} end"
     return f"(case when {x} in ('', '_Singles') then {x} when {y} = '' then 'Unknown' else {cut} end)"
 
 
@@ -172,7 +180,7 @@ BUCKET = "(case when duration_ms <= 0 then 0 else (round(duration_ms / 3000.0::d
 
 _META = ", ".join([f"coalesce({c}, '') {c}" for c in TEXTS] + [f"coalesce({c}, 0) {c}" for c in NUMBERS] + [f"coalesce({c}, false) {c}" for c in FLAGS])
 _FILES = ", ".join(["file_id", "first_seen_at", "last_update_at"] + [f"coalesce({c}, '') {c}" for c in FILE_TEXTS] + ["coalesce(size_bytes, 0) size_bytes", "coalesce(mtime_unix, 0) mtime_unix"])
-FILES1 = f"files1 as (select {_FILES} from files where file_id is not null qualify row_number() over (partition by file_id order by last_update_at desc nulls last, status, coalesce(error, '')) = 1)"
+FILES1 = f"files1 as (select {_FILES} from files where file_id is not null qualify row_number() over (partition by file_id order by last_update_at desc nulls last, coalesce(status, ''), coalesce(error, ''), coalesce(src_path, ''), coalesce(file_key, ''), coalesce(sha1, '')) = 1)"
 META1 = f"meta1 as (select distinct file_id, {_META} from metadata where file_id is not null)"
 LIB = f"with {FILES1}, {META1}, lib as (select * from files1 join meta1 using (file_id))"
 
