@@ -1,7 +1,9 @@
 """The pipeline, queries, scan, sinks and streams on small tables."""
 
 import datetime
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ import __spark_entry__
 from tests.tables import write
 from tonewright.operators import pipeline as L
 from tonewright.operators import reports as R
+from tonewright.operators import upkeep
 from tonewright.plans import catalog
-from tonewright.sources import scan, sinks
+from tonewright.sources import events, scan, sinks
 from tonewright.sources.library import library
 from tonewright.streaming import feed
 
@@ -99,6 +102,62 @@ def test_scan(spark, tmp_path):
     assert [r.src_path.rsplit("/", 1)[1] for r in scan.new_files(found, known).collect()] == ["B.FLAC"]
 
 
+def test_file_keys_tell_equal_files_apart(spark, tmp_path):
+    for name in ("a.mp3", "b.mp3"):
+        (tmp_path / name).write_bytes(b"same")
+        os.utime(tmp_path / name, (5, 5))
+    found = scan.discovered(spark, str(tmp_path))
+    assert len({r.file_key for r in found.collect()}) == 2 and scan.new_files(found, found.limit(0)).count() == 2
+    stat = os.stat(tmp_path / "a.mp3")
+    want = hashlib.sha1(f"{stat.st_dev}:{stat.st_ino}:4:5".encode()).hexdigest()
+    assert found.where("src_path like '%a.mp3'").first().file_key == want
+    assert scan.is_known(found, str(tmp_path / "a.mp3")) and not scan.is_known(found.where("src_path like '%a.mp3'"), str(tmp_path / "b.mp3")) and not scan.is_known(found, str(tmp_path / "c.mp3"))
+    assert {r.sha1 for r in scan.content_hashes(spark, str(tmp_path)).collect()} == {hashlib.sha1(b"same").hexdigest()}
+
+
+def test_events(spark):
+    rows = spark.createDataFrame([("k", "/a", "skip", "", "duplicate"), ("l", "/b", "copy", "/d", "best quality")], "file_key string, src_path string, action string, dest_path string, reason string")
+    got = {(r.event, r.level, r.src_path, r.dest_path) for r in events.plannings(rows).collect()}
+    assert got == {("skip", "info", "/a", None), ("plan", "info", "/b", "/d")}
+    assert events.at_least(events.plannings(rows), "warning").count() == 0 and events.at_least(events.conflicts(rows), "warning").count() == 2
+    done = rows.withColumn("bytes_written", F.lit(5)).withColumn("error", F.when(F.col("action") == "skip", "lost").otherwise(""))
+    assert {r.level for r in events.executions(done).collect()} == {"info", "error"}
+    for wrong in (lambda: events.event(rows, "dance", "info"), lambda: events.event(rows, "scan", "loud"), lambda: events.event(rows, "scan", "info", colour=F.lit(1)), lambda: events.at_least(rows, "loud")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_upkeep(spark, small):
+    lib = library(spark, small)
+    assert upkeep.rescan_candidates(lib).count() == 7 and upkeep.rescan_candidates(lib, errors_only=True).count() == 0
+    tags = spark.createDataFrame([(1, "A", ""), (2, "B", "T")], "file_id long, tag_artist string, tag_title string")
+    probe = spark.createDataFrame([(1, "X", "P", "flac", True), (3, "Y", "Q", "mp3", False)], "file_id long, tag_artist string, tag_title string, codec string, lossless boolean").withColumns({k: F.lit(1) for k in ("duration_ms", "sample_rate", "bit_depth", "bitrate_kbps", "channels")} | {"container": F.lit("c")})
+    got = {r.file_id: (r.tag_artist, r.tag_title, r.codec) for r in upkeep.reread(tags, probe).collect()}
+    assert got == {1: ("A", "", "flac"), 2: ("B", "T", None), 3: ("Y", "Q", "mp3")}
+    plans = L.plans(lib)
+    ran = R.executed(plans, lib.withColumn("status", F.when(F.col("error") != "", "error").otherwise(F.col("status"))))
+    text = upkeep.report(lib, plans, ran, {"Top errors": R.top_errors(lib), "Nothing": lib.limit(0)})
+    assert "## Overview" in text and "- **Files valid**: 7" in text and "- **Files failed**: 1" in text and "| read timeout | 1 |" in text and "## Nothing" not in text
+    assert [tuple(r) for r in upkeep.first_errors(ran, 0).collect()] == [] and upkeep.first_errors(ran, 5).first().more == 0
+    members = lib.select(F.lit("k").alias("cluster_key"), "file_id")
+    assert not upkeep.stale(lib, members) and upkeep.stale(lib.withColumn("last_update_at", F.when(F.col("file_id") > 3, F.lit(DAY + datetime.timedelta(1))).otherwise(F.lit(DAY))), members)
+    assert [r.name for r in upkeep.children(spark.createDataFrame([("a/b.mp3", True), ("a/Z", False), ("a/c", False), ("a", False)], "prefix string, is_file boolean")).where("parent = 'a'").orderBy("place").collect()] == ["c", "Z", "b.mp3"]
+
+
+def test_conditions_reach_the_scan(spark, small):
+    plan = R.query_library(spark, small, album="Mix")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(tag_album,Mix)" in plan
+    assert {r.file_id for r in R.query_library(spark, small, album="Mix").collect()} == {4, 5, 6, 7} and {r.file_id for r in R.query_library(spark, small, empty_artist=True).collect()} == {4}
+
+
+def test_hot_key_and_empty_albums(spark, tmp_path):
+    files = [_file(i, src_path=f"/src/{i:04}.mp3") for i in range(600)]
+    tags = [_tags(i, tag_album="" if i % 3 else "Album", tag_title="Hot" if i % 3 else f"T{i}", bitrate_kbps=128 + i % 300) for i in range(600)]
+    rows = L.plans(library(spark, write(spark, tmp_path, files=files, metadata=tags))).collect()
+    kept = {r.file_id for r in rows if r.action == "copy"}
+    assert len(rows) == 600 and len(kept) == 201 and len([i for i in kept if i % 3]) == 1
+
+
 def test_probe_and_merge(spark):
     probe = {"streams": [{"codec_type": "video", "codec_name": "png"}, {"codec_type": "audio", "codec_name": "flac", "sample_rate": "96000", "channels": 2, "bits_per_sample": "N/A", "bits_per_raw_sample": "24"}], "format": {"format_name": "flac", "duration": "12.5", "bit_rate": "900500", "tags": {"ARTIST": "A", "track": "3/10"}}}
     p = scan.probed(spark.createDataFrame([(1, json.dumps(probe)), (2, "{")], "file_id long, probe string"))
@@ -116,13 +175,19 @@ def test_sinks(spark, tmp_path, small):
     sinks.replace_table(old, path)
     sinks.replace_table(sinks.upserted(spark.read.parquet(path), new, "k", keep=("status",)), path)
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1, "new"), ("b", 3, "done"), ("c", 4, "new")]
+    sinks.replace_table(spark.read.parquet(path).where("k <> 'a'"), path)
+    assert spark.read.parquet(path).count() == 2 and not list(tmp_path.glob("t.*"))
+    upkeep.cleared(spark, path)
+    assert spark.read.parquet(path).count() == 0
     log = spark.createDataFrame([("debug", "x", ""), ("error", "y", "z")], "level string, event string, error string")
-    sinks.append_events(log, str(tmp_path / "log"), "warn")
+    sinks.append_events(log, str(tmp_path / "log"), "warning")
     assert [r.event for r in sinks.read_events(spark, str(tmp_path / "log")).collect()] == ["y"]
     sinks.export_csv(library(spark, small), str(tmp_path / "csv"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 7
+    csv = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert csv.count() == 7 and csv.columns == ["path", "artist", "album", "title", "track", "disc", "format", "codec", "bitrate_kbps", "duration_ms", "lossless", "size_bytes"]
     sinks.export_jsonl(library(spark, small), str(tmp_path / "jsonl"))
-    assert spark.read.json(str(tmp_path / "jsonl")).count() == 7
+    lines = spark.read.json(str(tmp_path / "jsonl"))
+    assert lines.count() == 7 and len(lines.columns) == 13
     lib = library(spark, small)
     assert lib.where("file_id = 1").select(sinks.writer_arguments({c: F.col(c) for c in lib.columns}).alias("a")).first().a[:2] == ["-metadata", "artist=Artist"]
 

@@ -13,6 +13,10 @@ CASES = {
     "title": (T.title_key, {"  Song  Title  ": "song title", "Song [2011 Remaster]": "song", "Song - Remix": "song", "Song: Title!": "song title", "Song & Title": "song and title"}),
     "version": (T.version_kind, {"Song (Live)": "live", "Song (Acoustic Live)": "live", "Song (Unplugged)": "acoustic", "Song (Acoustic Remix)": "acoustic", "Song [Radio Edit]": "remix", "Song (Demo Remix)": "remix", "Song (Rough)": "demo", "Song [Karaoke Version]": "instrumental", "Song [2011 Remaster]": "studio", "Song [Deluxe Edition]": "studio", "": "studio"}),
     "path": (P.path_component, {"Text/With/Slashes": "Text_With_Slashes", "Text<Angle>": "Text_Angle", "...Dots...": "Dots", "Multiple___Underscores": "Multiple_Underscores", 'All/\\:*?"<>|Illegal': "All_Illegal", "!!!": "Unknown", "#root.access": "root.access", "@djxiz": "djxiz", "&ME": "&ME", "_Singles": "_Singles", "": ""}),
+    "path of many bytes": (P.path_component, {"é" * 150: "é" * 100, "a" + "é" * 150: "a" + "é" * 99, "a" * 300: "a" * 200, "雨" * 80: "雨" * 66, "a" * 199 + " b": "a" * 199}),
+    "shortened": (lambda c: P.shortened(c, 40), {"/a": "/a", "é" * 30: "é" * 9 + "..." + "é" * 9, "雨" * 20: "雨" * 6 + "..." + "雨" * 6, "x" * 50: "x" * 18 + "..." + "x" * 18, "é" * 20: "é" * 20}),
+    "clean path": (P.clean_path, {"/a//b/./c/": "/a/b/c", "/a/../../b": "/b", "../a/..": "..", "": ".", "a/b/../c": "a/c", "/": "/"}),
+    "normal path": (P.normal_path, {"/A/./B": "/a/b"}),
     "year": (P.year_of, {"2023-01-15": "2023", "15/01/2023": "2023", "abc2022def": "2022", "9999": "", "123": "", "2099": "2099", "12023": "2023"}),
     "planned album": (T.planned_album, {"https_soundcloud.com_artist": "", "2013 - https_soundcloud.com_rootaccess": "", "Andromeda EP-(BMR008)-WEB": "Andromeda EP", "FB-(TIGER967BP)-WEB": "FB", "Album  Name--Test": "Album Name-Test", "Abbey Road": "Abbey Road", "ABBA Gold": "Gold", "1989": ""}),
     "ingested album": (T.ingested_album, {"2014 - Clubland Vol.7-WEB": "2014 - Clubland Vol.7", "Album Name EP": "Album Name EP", "Album Name-EP": "Album Name", "2022 - AH [HEAR0053]": "2022 - AH", "Album [www.clubtone.net]": "Album", "Album (Promo)": "Album", "Album [CAT123] WEB": "Album"}),

@@ -61,6 +61,10 @@ def proximity_score(gap_ms: Column) -> Column:
     return F.when(gap_ms <= 1500, 6.0).when(gap_ms <= 3000, 3.0).when(gap_ms <= 5000, 1.0).otherwise(-2.0)
 
 
+def duration_delta(a: Column, b: Column) -> Column:
+    return F.abs(a - b)
+
+
 def duration_bucket(ms: Column) -> Column:
     """Seconds to the nearest multiple of three, 0 for none."""
     return F.when(ms <= 0, 0).otherwise(F.round(ms / F.lit(3000.0)) * 3).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,21 +15,11 @@ from tonewright.operators import enrich as E
 from tonewright.operators import pipeline as L
 from tonewright.operators import reports as R
 from tonewright.plans import duck as D
+from tonewright.plans.registry import QUERIES, SQL, Query, add, over
 from tonewright.sources.checkpoints import cut
 from tonewright.sources.library import latest_files, library, one_metadata
 from tonewright.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def add(name: str, make: Query, sql: str | None = None) -> None:
-    QUERIES[name] = make
-    if sql:
-        SQL[name] = sql
-
-
 def rule(name: str, field: str, fn: Callable[[Column], Column], sql: str) -> None:
     """A scalar rule over the different values of a tag."""
 
@@ -38,11 +29,6 @@ def rule(name: str, field: str, fn: Callable[[Column], Column], sql: str) -> Non
     add(name, make, f"select value, {sql} as result from (select distinct coalesce({field}, '') as value from metadata)")
 
 
-def over(name: str, source: Query, sql: str, made: Callable[[], dict[str, Column]]) -> None:
-    """Columns made from the rows of a source; they are built when the query is, as that needs a session."""
-    add(name, lambda spark, folder: source(spark, folder).select(*(c.alias(k) for k, c in made().items())), sql)
-
-
 v = "value"
 rule("f1_normalize_artist", "tag_artist", T.artist_key, D.artist_key(v))
 rule("f3_normalize_title", "tag_title", T.title_key, D.title_key(v))
@@ -68,7 +54,7 @@ rule("f41_year", "tag_date", P.year_of, D.year_of(v))
 c = F.col
 over("f10_path_names", library, f"{D.LIB} select file_id, case when tag_albumartist <> '' then tag_albumartist when tag_artist <> '' then tag_artist else 'Unknown Artist' end as artist, case when tag_album <> '' then tag_album else 'Unknown Album' end as album, case when tag_title <> '' then tag_title else {D.stem('src_path')} end as title from lib",
      lambda: dict(file_id=c("file_id"), artist=F.coalesce(F.nullif("tag_albumartist", F.lit("")), F.nullif("tag_artist", F.lit("")), F.lit("Unknown Artist")), album=F.coalesce(F.nullif("tag_album", F.lit("")), F.lit("Unknown Album")), title=F.coalesce(F.nullif("tag_title", F.lit("")), P.stem(c("src_path")))))
-over("f17_detect_compilation", library, f"{D.LIB} select file_id, {D.has('lower(src_path)', T.COMPILATION_PATHS)} or {D.has('lower(tag_album)', T.COMPILATION_ALBUMS)} as result from lib", lambda: dict(file_id=c("file_id"), result=T.is_compilation(c("src_path"), c("tag_album"))))
+over("f17_detect_compilation", library, f"{D.LIB} select file_id, {D.has('lower(src_path)', ('various artists', 'variousartists', 'various_artists', 'compilation', 'mixed by', 'compiled by', 'compiled & mixed', '_singles'))} or {D.has('lower(tag_album)', ('various', 'compilation', 'mixed by'))} as result from lib", lambda: dict(file_id=c("file_id"), result=T.is_compilation(c("src_path"), c("tag_album"))))
 
 
 def pattern_cleaning(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,9 +114,6 @@ add("f24_enrich_from_path", lambda s, f: E.enriched_from_folders(library(s, f)).
 _YA = r"^(\d{4})\s*-\s*(.+)$"
 add("f25_year_album", lambda s, f: table(s, f, "metadata", "tag_album").distinct().select(F.coalesce("tag_album", F.lit("")).alias("value")).distinct().select("value", *(x.alias(k) for k, x in E.year_album(c("value")).items())), f"select value, {D.trimmed(D.ext(v, _YA, 2))} album, {D.ext(v, _YA, 1)} as \"year\" from (select distinct coalesce(tag_album, '') as value from metadata)")
 rule("f26_disc_number", "tag_album", E.disc_number, "coalesce(" + ", ".join(f"try_cast({D.ext(v, rf'(?i){w}\s*(\d+)', 1)} as int)" for w in ("cd", "disc", "disk")) + ", 0)")
-_TF = (r"^(\d{1,3})\s*-\s*(.+)$", r"^(\d{1,3})\s+(.+)$", r"(?i)track\s+(\d{1,3})\s*-\s*(.+)$", r"-\s*(\d{1,3})\s*-\s*(.+)$")
-add("f27_track_filename", lambda s, f: table(s, f, "metadata", "tag_title").select(F.coalesce("tag_title", F.lit("")).alias("value")).distinct().select("value", *(x.alias(k) for k, x in E.track_filename(c("value")).items())),
-    f"select value, case {' '.join(f'when regexp_matches(n_, {D.q(p)}) then try_cast({D.ext('n_', p, 1)} as int)' for p in _TF)} else 0 end track, case {' '.join(f'when regexp_matches(n_, {D.q(p)}) then {D.trimmed(D.ext('n_', p, 2))}' for p in _TF)} else '' end title from (select distinct coalesce(tag_title, '') as value, regexp_replace(coalesce(tag_title, ''), '\\.[^.]*$', '') n_ from metadata)")
 over("f28_folder_kinds", library, f"{D.LIB} select file_id, regexp_matches({_ONE}, '^\\d+$') as \"numeric\", {_TWO} in ('_Singles', 'Various Artists', 'Unknown Artist', 'Unknown Album', '.', '..') special from lib", lambda: dict(file_id=c("file_id"), numeric=E.is_numeric_folder(P.folder(c("src_path"))), special=E.is_special_folder(P.folder(c("src_path"), 1))))
 over("f29_duration_bucket", one_metadata, f"with {D.META1} select file_id, {D.BUCKET} bucket from meta1", lambda: dict(file_id=c("file_id"), bucket=S.duration_bucket(c("duration_ms"))))
 add("f30_cluster_key", lambda s, f: L.with_cluster_key(library(s, f)).select("file_id", c("key").alias("cluster_key")), f"{D.KEYED} select file_id, \"key\" cluster_key from keyed")
@@ -139,7 +122,7 @@ over("f34_bit_depth_score", library, f"{D.LIB} select file_id, {D.DEPTH} score f
 over("f35_sample_rate_score", library, f"{D.LIB} select file_id, {D.RATE} score from lib", lambda: dict(file_id=c("file_id"), score=S.sample_rate_score(c("sample_rate"))))
 over("f36_tag_score", library, f"{D.LIB} select file_id, {D.TAGS} score from lib", lambda: dict(file_id=c("file_id"), score=S.tag_score(c("tag_artist"), c("tag_album"), c("tag_title"), c("tag_track"))))
 add("f37_quality_score", lambda s, f: L.with_score(library(s, f)).select("file_id", "score"), f"{D.LIB} select file_id, {D.QUALITY} score from lib")
-over("s10_lossless_codec", one_metadata, f"with {D.META1} select file_id, lower(codec) in ({', '.join(map(D.q, S.LOSSLESS_CODECS))}) or starts_with(lower(codec), 'pcm_') result from meta1", lambda: dict(file_id=c("file_id"), result=S.is_lossless(c("codec"))))
+over("s10_lossless_codec", one_metadata, f"with {D.META1} select file_id, lower(codec) in ('flac', 'alac', 'ape', 'wavpack', 'wv', 'tta', 'pcm', 'wav', 'aiff') or starts_with(lower(codec), 'pcm_') result from meta1", lambda: dict(file_id=c("file_id"), result=S.is_lossless(c("codec"))))
 
 
 def proximity(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,22 +139,10 @@ add("f42_dest_path", lambda s, f: L.with_destination(library(s, f)).select("file
 _UNITS = " ".join(f"when size_bytes >= {1024**p} then printf('%.1f', round_even(size_bytes / {float(1024**p)}, 1)) || ' {u}B'" for p, u in reversed(list(enumerate("KMGTPE", 1))))
 over("f43_format_bytes", latest_files, f"with {D.FILES1} select file_id, case {_UNITS} else size_bytes::varchar || ' B' end result from files1", lambda: dict(file_id=c("file_id"), result=P.byte_size(c("size_bytes"))))
 over("f44_format_duration", one_metadata, f"with {D.META1} select file_id, (duration_ms // 1000 // 60)::varchar || ':' || {D.two('duration_ms // 1000 % 60')} result from meta1", lambda: dict(file_id=c("file_id"), result=P.minutes(c("duration_ms"))))
-over("f45_truncate_path", latest_files, f"with {D.FILES1} select file_id, case when strlen(src_path) <= 40 then src_path else substr(src_path, 1, 18) || '...' || right(src_path, 18) end result from files1", lambda: dict(file_id=c("file_id"), result=P.shortened(c("src_path"), 40)))
-over("f46_normalize_path", latest_files, f"with {D.FILES1} select file_id, lower(src_path) result from files1", lambda: dict(file_id=c("file_id"), result=F.lower("src_path")))
-over("f48_retryable_error", latest_files, f"with {D.FILES1} select file_id, error, {D.has('lower(error)', T.TRANSIENT_ERRORS)} result from files1 where error <> ''", lambda: dict(file_id=c("file_id"), error=c("error"), result=T.is_transient(c("error"))))
-_f48 = QUERIES["f48_retryable_error"]
-add("f48_retryable_error", lambda s, f: _f48(s, f).where("error <> ''"), SQL["f48_retryable_error"])
+add("f48_retryable_error", lambda s, f: latest_files(s, f).where("error <> ''").select("file_id", "error", T.is_transient(c("error")).alias("result")),
+    f"with {D.FILES1} select file_id, error, {D.has('lower(error)', ('timeout', 'timed out', 'connection reset', 'connection refused', 'connection aborted', 'broken pipe', 'no route to host', 'network is unreachable', 'network is down', 'host is down', 'temporary failure', 'resource temporarily unavailable', 'i/o error', 'too many open files'))} result from files1 where error <> ''")
 _TRACK = r'"track":\s*"?([^",}]*)'
 over("f47_int_or_text", one_metadata, f"with {D.META1} select file_id, case when regexp_matches({D.ext('raw_tags_json', _TRACK, 1)}, '^[+-]?\\d+$') then {D.ext('raw_tags_json', _TRACK, 1)}::bigint else 0 end result from meta1", lambda: dict(file_id=c("file_id"), result=T.int_or_text(F.regexp_extract("raw_tags_json", _TRACK, 1))))
-over("s8_json_track", one_metadata, f"with {D.META1} select file_id, coalesce(try_cast({D.ext('raw_tags_json', r'"track":\s*"?\s*([+-]?\d+)', 1)} as int), 0) track from meta1", lambda: dict(file_id=c("file_id"), track=F.coalesce(F.regexp_extract("raw_tags_json", r'"track":\s*"?\s*([+-]?\d+)', 1).try_cast("int"), F.lit(0))))
-
-
-def distinct_names(spark: SparkSession, folder: str) -> DataFrame:
-    a = table(spark, folder, "musicbrainz_cache", "search_name").where("trim(search_name) <> ''")
-    return a.groupBy(F.lower(F.trim("search_name")).alias("folded")).agg(F.min("search_name").alias("name"))
-
-
-add("f49_dedupe_names", distinct_names, "select lower(trim(search_name, ' ')) folded, min(search_name) \"name\" from musicbrainz_cache where trim(search_name, ' ') <> '' group by 1")
 
 
 def cache(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,8 +183,6 @@ for _name, _order in (("artist", "tag_artist, tag_album, tag_track"), ("album",
 add("j1_files_metadata", lambda s, f: L.meta_ok(s, f).select("file_id", "file_key", "codec", "tag_title"), f"{D.LIB} select file_id, file_key, codec, tag_title from lib where status = 'meta_ok'")
 add("j3_members_files", lambda s, f: table(s, f, "cluster_members", "cluster_key", "file_id").distinct().join(library(s, f).select("file_id", "src_path", "tag_title"), "file_id").select("cluster_key", "file_id", "src_path", "tag_title"), f"{D.LIB} select distinct cluster_key, file_id, src_path, tag_title from cluster_members join lib using (file_id)")
 add("j7_files_without_cluster", lambda s, f: latest_files(s, f).join(table(s, f, "cluster_members", "file_id"), "file_id", "left_anti").select("file_id", "status"), f"with {D.FILES1} select file_id, status from files1 where file_id not in (select file_id from cluster_members where file_id is not null)")
-add("same_directory", lambda s, f: latest_files(s, f).where(c("status").isin("meta_ok", "discovered")).groupBy(P.parent(c("src_path")).alias("folder")).agg(F.count("*").alias("n")), f"with {D.FILES1} select {D.parent('src_path')} folder, count(*) n from files1 where status in ('meta_ok', 'discovered') group by 1")
-add("u1_unique_artists", lambda s, f: one_metadata(s, f).select(c("tag_artist").alias("name")).union(one_metadata(s, f).select("tag_albumartist")).where("name <> ''").distinct(), "select tag_artist as \"name\" from metadata where tag_artist <> '' union select tag_albumartist from metadata where tag_albumartist <> ''")
 add("a1_clusters", lambda s, f: L.with_cluster_key(L.meta_ok(s, f)).groupBy(c("key").alias("cluster_key")).agg(F.count("*").alias("members")), f"{D.KEYED} select \"key\" cluster_key, count(*) members from keyed where status = 'meta_ok' group by 1")
 add("a2_hint", lambda s, f: L.with_cluster_key(L.meta_ok(s, f)).groupBy(c("key").alias("cluster_key")).agg(F.min_by(F.concat("tag_artist", F.lit(" - "), "tag_title"), "file_id").alias("hint")), f"{D.KEYED} select \"key\" cluster_key, arg_min(tag_artist || ' - ' || tag_title, file_id) hint from keyed where status = 'meta_ok' group by 1")
 add("a3_cluster_counts", lambda s, f: L.with_cluster_key(L.meta_ok(s, f)).groupBy("key").count().agg(F.count("*").alias("clusters"), F.count_if(c("count") == 1).alias("singletons"), F.count_if(c("count") > 1).alias("duplicates"), F.sum("count").alias("files")), f"{D.KEYED}, n as (select count(*) n from keyed where status = 'meta_ok' group by \"key\") select count(*) clusters, count(*) filter (n = 1) singletons, count(*) filter (n > 1) duplicates, sum(n)::bigint files from n")
@@ -256,32 +225,23 @@ add("x6_simulated_execution", lambda s, f: R.executed(L.plans(library(s, f)), la
 add("a6_bytes_verified", lambda s, f: R.executed(L.plans(library(s, f)), latest_files(s, f)).agg(F.coalesce(F.sum(F.when(c("verify_ok"), c("bytes_written"))), F.lit(0)).alias("size"), F.count_if("verify_ok").alias("verified")), f"{D.PLANNED}, {_EXEC} select coalesce(sum(bytes_written) filter (verify_ok), 0)::bigint size, count(*) filter (verify_ok) verified from ex")
 
 
-add("x4_verify_plan", lambda s, f: R.verified(latest_files(s, f), latest_files(s, f).where("sha1 <> ''"), "hash"), f"with {D.FILES1} select file_id, sha1 <> '' verify_ok from files1")
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics row of the report, each part one aggregation."""
-    f = latest_files(spark, folder).agg(F.count("*").alias("files"), F.count_if(c("status").isin("meta_ok", "executed")).alias("valid"), F.count_if(c("status") == "error").alias("errors"))
-    p = L.plans(library(spark, folder)).agg(F.countDistinct("key").alias("clusters"), F.count_if(c("action") != "skip").alias("winners"), F.count_if(c("action") == "skip").alias("skipped"))
-    return f.join(p, F.lit(True))
+    f = latest_files(spark, folder).agg(F.lit(1).alias("one"), F.count("*").alias("files"), F.count_if(c("status").isin("meta_ok", "executed")).alias("valid"), F.count_if(c("status") == "error").alias("errors"))
+    p = L.plans(library(spark, folder)).agg(F.lit(1).alias("one"), F.countDistinct("key").alias("clusters"), F.count_if(c("action") != "skip").alias("winners"), F.count_if(c("action") == "skip").alias("skipped"))
+    return f.join(p, "one").drop("one")
 
 
 add("a11_summary", summary, f"{D.PLANNED}, f as (select count(*) files, count(*) filter (status in ('meta_ok', 'executed')) valid, count(*) filter (status = 'error') errors from files1), p as (select count(distinct \"key\") clusters, count(*) filter (action <> 'skip') winners, count(*) filter (action = 'skip') skipped from planned) select * from f, p")
-add("k1_upsert_files", lambda s, f: latest_files(s, f).select("file_id", "file_key", "src_path", "status", "last_update_at"), f"with {D.FILES1} select file_id, file_key, src_path, status, last_update_at from files1")
-add("k9_jsonl_export", lambda s, f: library(s, f).select("file_id", F.to_json(F.struct("tag_artist", "tag_album", "tag_title")).alias("line")), None)
-add("e7_event_levels", lambda s, f: table(s, f, "events", "event_id", "event_type").withColumn("level", F.when(c("event_type") == "error", "error").when(c("event_type") == "signup", "warn").when(c("event_type") == "view", "debug").otherwise("info")).where(~c("level").isin("debug")), "select event_id, event_type, case when event_type = 'error' then 'error' when event_type = 'signup' then 'warn' else 'info' end as \"level\" from events where event_type <> 'view'")
-
-
-def file_key(size: Column, mtime: Column) -> Column:
-    return F.sha1(F.concat_ws(":", size.cast("string"), mtime.cast("string")).cast("binary"))
-
-
-over("s4_portable_file_key", latest_files, f"with {D.FILES1} select file_id, sha1(size_bytes::varchar || ':' || mtime_unix::varchar) result from files1", lambda: dict(file_id=c("file_id"), result=file_key(c("size_bytes"), c("mtime_unix"))))
 
 
 def queries() -> dict[str, Query]:
+    import_module("tonewright.plans.upkeep")
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import_module("tonewright.plans.upkeep")
     return dict(SQL)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import os
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from tonewright.functions.paths import extension
 from tonewright.functions.scores import is_lossless
@@ -19,7 +25,37 @@ def discovered(spark: SparkSession, root: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
     files = found.where(extension(F.col("path")).isin(*EXTENSIONS))
     size, mtime = F.col("length"), F.unix_timestamp("modificationTime")
-    return files.select(F.sha1(F.concat_ws(":", size.cast("string"), mtime.cast("string")).cast("binary")).alias("file_key"), F.regexp_replace("path", "^file:/*", "/").alias("src_path"), size.alias("size_bytes"), mtime.alias("mtime_unix"))
+    named = files.select(F.regexp_replace("path", "^file:/*", "/").alias("src_path"), size.alias("size_bytes"), mtime.alias("mtime_unix"))
+    return named.select(file_key(device_and_inode("src_path"), F.col("size_bytes"), F.col("mtime_unix")).alias("file_key"), "src_path", "size_bytes", "mtime_unix")
+
+
+@arrow_udf(StringType())
+def device_and_inode(paths: pa.Array) -> pa.Array:
+    """'device:inode' of each path; null where the file system doesn't tell."""
+    out = []
+    for path in paths.to_pylist():
+        try:
+            found = os.stat(path)
+            out.append(f"{found.st_dev}:{found.st_ino}" if found.st_ino else None)
+        except (OSError, TypeError, ValueError):
+            out.append(None)
+    return pa.array(out, pa.string())
+
+
+def file_key(place: Column, size: Column, mtime: Column) -> Column:
+    """SHA-1 of device, inode, size and time; of size and time where there is no place."""
+    return F.sha1(F.concat_ws(":", place, size.cast("string"), mtime.cast("string")).cast("binary"))
+
+
+def is_known(known: DataFrame, path: str) -> bool:
+    """Whether a single file's key is known already; False for a file that isn't there."""
+    spark = known.sparkSession
+    try:
+        found = os.stat(path)
+    except OSError:
+        return False
+    one = spark.createDataFrame([(f"{found.st_dev}:{found.st_ino}", found.st_size, int(found.st_mtime))], "place string, size long, mtime long")
+    return not known.join(one.select(file_key(F.col("place"), F.col("size"), F.col("mtime")).alias("file_key")), "file_key", "left_semi").isEmpty()
 
 
 def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -28,9 +64,29 @@ def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.groupBy("file_key").agg(F.min(F.struct("src_path", "size_bytes", "mtime_unix")).alias("f")).select("file_key", "f.*")
 
 
+PIECE = 1 << 20
+
+
+@arrow_udf(StringType())
+def content_hash(paths: pa.Array) -> pa.Array:
+    """SHA-1 of each file, read piece by piece, so a file of any size fits; null where it can't be read."""
+    out = []
+    for path in paths.to_pylist():
+        try:
+            sha1 = hashlib.sha1(usedforsecurity=False)
+            with open(path, "rb") as file:
+                while piece := file.read(PIECE):
+                    sha1.update(piece)
+            out.append(sha1.hexdigest())
+        except (OSError, TypeError, ValueError):
+            out.append(None)
+    return pa.array(out, pa.string())
+
+
 def content_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """(path, sha1) of small files' contents."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.sha1("content").alias("sha1"))
+    """(path, sha1) of the files under a root that all executors see."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
+    return found.select("path", content_hash("path").alias("sha1"))
 
 
 def probed(rows: DataFrame) -> DataFrame:

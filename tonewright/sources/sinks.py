@@ -7,8 +7,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LEVELS = {"debug": 0, "info": 1, "warn": 2, "error": 3}
-EXPORT = ("file_id", "src_path", "tag_artist", "tag_album", "tag_title", "tag_albumartist", "tag_date", "tag_track", "codec", "bitrate_kbps", "lossless", "duration_ms", "size_bytes")
+from tonewright.functions.paths import extension
+from tonewright.sources.events import at_least
+
+# Columns of exports, and the formats whose tags can be written.
+CSV_COLUMNS = {"path": "src_path", "artist": "tag_artist", "album": "tag_album", "title": "tag_title", "track": "tag_track", "disc": "tag_disc", "format": "format", "codec": "codec", "bitrate_kbps": "bitrate_kbps", "duration_ms": "duration_ms", "lossless": "lossless", "size_bytes": "size_bytes"}
+TAGGED = (".mp3", ".m4a", ".flac", ".ogg", ".opus", ".wma", ".wav", ".aiff", ".ape", ".wv", ".tta", ".mpc")
+
+
+class ReplaceError(OSError):
+    """A table could not be replaced; the old one is still there."""
+
+
+def can_write_tags(path: Column) -> Column:
+    return extension(path).isin(*TAGGED)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -21,39 +33,48 @@ def upserted(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = (
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then put the new folder in its place, so a failed job leaves the old one."""
+    """Write beside the table, put the old folder aside and the new one in its place; if that fails the old one comes back."""
     spark = df.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}"
+    beside, aside = (f"{path}.{uuid.uuid4().hex}" for _ in range(2))
     df.write.parquet(beside)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, aside))
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
+    there = fs.exists(target)
+    if there and not fs.rename(target, old):
+        raise ReplaceError(f"cannot put {path} aside")
     if not fs.rename(fresh, target):
-        raise OSError(f"cannot put {beside} in place of {path}")
+        if there:
+            fs.rename(old, target)
+        raise ReplaceError(f"cannot put {beside} in place of {path}")
+    if there:
+        fs.delete(old, True)
 
 
 def append_events(events: DataFrame, path: str, least: str = "info") -> None:
     """Events at or above a level as lines of JSON; empty values are left out of the line."""
-    rank = F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair))
-    wanted = events.where(F.element_at(rank, F.col("level")) >= LEVELS[least])
+    wanted = at_least(events, least)
     texts = {c: F.nullif(c, F.lit("")) for c, kind in wanted.dtypes if kind == "string"}
-    wanted.withColumns(texts).write.mode("append").json(path)
+    stamped = wanted if "ts" in wanted.columns else wanted.select(F.current_timestamp().alias("ts"), *wanted.columns)
+    stamped.withColumns(texts).write.mode("append").json(path)
+
+
+def csv_rows(library: DataFrame) -> DataFrame:
+    """The twelve columns of an export, in their order."""
+    return library.select(*(F.col(c).alias(n) for n, c in CSV_COLUMNS.items()))
 
 
-def event(level: str, name: str, **values: Column) -> list[Column]:
-    """The columns of an event of one kind."""
-    if level not in LEVELS:
-        raise ValueError(f"unknown level {level}")
-    return [F.current_timestamp().alias("ts"), F.lit(level).alias("level"), F.lit(name).alias("event"), *(c.alias(k) for k, c in values.items())]
+def json_rows(library: DataFrame) -> DataFrame:
+    """The thirteen keys of a line of an export."""
+    return library.select(*(F.col(c).alias(n) for n, c in sorted({"file_id": "file_id", **CSV_COLUMNS}.items())))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.select(*EXPORT).write.mode("overwrite").option("header", True).csv(path)
+    csv_rows(df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_jsonl(df: DataFrame, path: str) -> None:
-    df.select(*EXPORT).write.mode("overwrite").json(path)
+    json_rows(df).write.mode("overwrite").json(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
