@@ -205,9 +205,11 @@ def test_candidates_against_all_pairs(spark):
     assert len(near) > 200 and len(alike) > 200 and near <= got and alike <= got, (len(near - got), len(alike - got))
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("group", [packing.GROUP, 70])
+def test_packing(spark, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP", group)
     rng = random.Random(4)
-    rows = [(i, 250 if i % 3 == 0 else rng.randrange(0, 700)) for i in range(3000)]
+    rows = [(i, 250 if i % 3 == 0 else 512 if i % 7 == 0 else rng.randrange(0, 1200)) for i in range(3000)]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), 512).collect()
     whole = collections.Counter()
     room = collections.defaultdict(list)
