@@ -205,6 +205,47 @@ def test_candidates_against_all_pairs(spark):
     assert len(near) > 200 and len(alike) > 200 and near <= got and alike <= got, (len(near - got), len(alike - got))
 
 
+def test_signs_of_partners():
+    rng = random.Random(3)
+    some = [*names.FULL_NAMES, *names.FULL_NAMES.values(), *names.TITLES, "the", "hte", *("".join(rng.choice("abstr") for _ in range(rng.randrange(1, 7))) for _ in range(900))]
+    kept, sought = {t: names.signs_kept(t) for t in some}, {t: names.signs_sought(t) for t in some}
+    partners = [(a, b) for a in rng.sample(some, 400) for b in some if names.token_cost(a, b) is not None]
+    assert len(partners) > 2000 and not [(a, b) for a, b in partners if sought[a].isdisjoint(kept[b])]
+
+
+def test_aligned_against_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfgjklmnprstvz") + rng.choice("aeiou") for _ in range(3)) + rng.choice("rskn")
+    firsts, kinds = ("gregory", "elizabeth", "mara", "yuki", "dr", "dj", "mc"), ("singers", "jazz company", "radio orchestra")
+    listed = sorted({f"{rng.choice(firsts)} {word()}" if rng.random() < 0.7 else f"{word()} {rng.choice(kinds)}" for _ in range(500)})
+    typed = {"mara b", "dr", "k dr", "elizabeth", "dj mc"}
+    for name in listed:
+        first, *rest = name.split()
+        i = rng.randrange(1, len(first))
+        last = rest[-1]
+        k = rng.randrange(1, len(last))
+        slip = last[:k] + rng.choice("qxy") + last[k + 1 :]
+        typed |= {rng.choice((f"{first[0]} {' '.join((*rest[:-1], slip))}", f"{slip} {first}", f"{first} k {' '.join(rest)}", f"{first[:i]}{first[i + 1 :]} {last}", name[: 1 + 2 * len(name) // 3].strip(), f"{rng.choice(('betty', 'dr', 'greg'))} {last}"))}
+    typed = sorted(typed - set(listed))
+    key = lambda x: x.replace(" ", "")
+    one = spark.createDataFrame([(i, key(x), x) for i, x in enumerate(typed)], "typed_id long, key string, form string")
+    two = spark.createDataFrame([(i, key(x), x, x) for i, x in enumerate(listed)], "entry_id long, entry_key string, entry_form string, canonical_name string")
+    got = {(r.typed_id, r.entry_id) for r in canonical.aligned(one, two).collect()}
+    grams = lambda form: {t[i : i + canonical.GRAM] for t in (f"^{x}$" for x in form.split()) for i in range(max(len(t) - canonical.GRAM + 1, 1))}
+    of = [grams(x) for x in listed]
+    fit = set()
+    for i, a in enumerate(typed):
+        for j, b in enumerate(listed):
+            x, y = tuple(a.split()), tuple(b.split())
+            cut = 2 * len(key(a)) >= len(key(b)) and key(b).startswith(key(a))
+            if (cut or names.align(x, y) is not None or len(x) > 2 and names.align(x, y, 2) is not None) and grams(a) & of[j]:
+                fit.add((i, j))
+    assert len(fit) > 400 and fit <= got, [(typed[i], listed[j]) for i, j in fit - got]
+    # names with a word of their own don't meet all that share n-grams, a first name or a title with them
+    own = one.where("form not in ('mara b', 'dr', 'k dr', 'elizabeth', 'dj mc')")
+    assert canonical.meeting(own, two).count() < 6 * len(typed)
+
+
 @pytest.mark.parametrize("group", [packing.GROUP, 70])
 def test_packing(spark, monkeypatch, group):
     monkeypatch.setattr(packing, "GROUP", group)

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from tonewright.functions.unicode import name_key_of
 from tonewright.llm.lookalike import canonical
@@ -139,6 +139,71 @@ def consonants(a: str) -> bool:
     return 2 <= len(a) <= 5 and not any(c in "aeiouy" for c in a[1:])
 
 
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+_POWERS = [1]
+_WHOLE, _START, _CUT, _LETTERS_OF, _SHORTENED = 1, 2, 3, 4, 5  # what a sign is the hash of
+
+
+def _signed(kind: int, value: int, size: int) -> int:
+    return (value + kind * _POWERS[size]) % _PRIME
+
+
+def _hashes(t: str) -> list[int]:
+    """The hashes of all starts of a token, by length, each from the one before."""
+    while len(_POWERS) <= len(t):
+        _POWERS.append(_POWERS[-1] * _BASE % _PRIME)
+    out = [0]
+    for c in t:
+        out.append((out[-1] * _BASE + ord(c)) % _PRIME)
+    return out
+
+
+def _cuts(t: str) -> set[int]:
+    """Signs that tokens one slip apart share: the token, and what is left without one of its letters."""
+    n, h = len(t), _hashes(t)
+    if n < 3:
+        return set()
+    rest = (_POWERS[n - 1 - i] for i in range(n))
+    return {_signed(_CUT, h[n], n), *(_signed(_CUT, (h[i] * p + h[n] - h[i + 1] * p) % _PRIME, n - 1) for i, p in enumerate(rest))}
+
+
+def _two_letters(kind: int, t: str) -> set[int]:
+    return {_signed(kind, _hashes(t[0] + c)[2], 2) for c in set(t[1:]) if c not in "aeiouy"}
+
+
+def signs_kept(t: str) -> set[int]:
+    """The signs a listed token is kept under: a number in proportion to its length, whose hashes are made in that time."""
+    n, h = len(t), _hashes(t)
+    out = {_signed(_WHOLE, h[n], n), *(_signed(_START, h[i], i) for i in range(1, n))} | _cuts(t) | _two_letters(_LETTERS_OF, t)
+    return out | {_signed(_SHORTENED, _hashes(t[:2])[2], 2)} if consonants(t) else out
+
+
+def signs_sought(t: str) -> set[int]:
+    """The signs under one of which each listed token is kept that ``token_cost`` lets stand for this one."""
+    n, h = len(t), _hashes(t)
+    out = {_signed(_START, h[n], n), *(_signed(_WHOLE, h[i], i) for i in range(1, n + 1))} | _cuts(t) | _two_letters(_SHORTENED, t)
+    out |= {_signed(_WHOLE, _hashes(other)[len(other)], len(other)) for other in _NICKNAMES.get(t, ())}
+    if n > 2 and t[-1] == "s":  # a start and an s
+        out |= {_signed(_START, h[n - 1], n - 1), *(_signed(_WHOLE, (h[i] * _BASE + ord("s")) % _PRIME, i + 1) for i in range(2, min(n - 1, 5)))}
+    return out | {_signed(_LETTERS_OF, _hashes(t[:2])[2], 2)} if consonants(t) else out
+
+
+@arrow_udf(ArrayType(LongType()))
+def kept_under(tokens: pa.Array) -> pa.Array:
+    return pa.array([list(signs_kept(t)) for t in tokens.to_pylist()], pa.list_(pa.int64()))
+
+
+@arrow_udf(ArrayType(LongType()))
+def sought_under(tokens: pa.Array) -> pa.Array:
+    return pa.array([list(signs_sought(t)) for t in tokens.to_pylist()], pa.list_(pa.int64()))
+
+
+@arrow_udf(BooleanType())
+def are_partners(tokens: pa.Array, others: pa.Array) -> pa.Array:
+    """Whether one token can stand for the other."""
+    return pa.array([token_cost(a, b) is not None for a, b in zip(tokens.to_pylist(), others.to_pylist())], pa.bool_())
+
+
 class Index:
     """Which of the names added so far may fit a name, by what their tokens share; it misses none that ``align`` fits.
 
